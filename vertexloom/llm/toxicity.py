@@ -40,7 +40,7 @@ REPORTING = frozenset("said says wrote called quoted claimed alleged sagte schri
 TRAIN_ROWS = 20_000
 #: Stems are word beginnings of these lengths; so many candidates are weighed at most, the most frequent ones.
 STEM_LENGTHS, CANDIDATES = (4, 5, 6, 7, 8), 50_000
-MIN_WEIGHT, MIN_TEXTS, MIN_SHARE = 3.0, 3, 0.004
+MIN_WEIGHT, MIN_TEXTS, MIN_SHARE, MAX_CHANCE = 3.0, 3, 0.004, 0.1
 PRIOR_WEIGHT = 4.0
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BREAK = re.compile(r"[.!?;\n]")
@@ -207,7 +207,7 @@ def _stem_counts(texts: DataFrame, only: set[str] | None) -> DataFrame:
 def learn_stems(texts: DataFrame) -> dict[str, float]:
     """Word beginnings that tell toxic texts from clean ones: log ratio of their (smoothed) shares of texts.
 
-    ``texts``: text, toxic. Of stems that say the same, only the shortest stays.
+    ``texts``: text, toxic. Of stems that begin alike, the shortest stays, unless a longer one is in as many texts.
     """
     n = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -218,11 +218,16 @@ def learn_stems(texts: DataFrame) -> dict[str, float]:
     a = {r[0]: r[1] for r in _stem_counts(texts.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.col("n").desc(), "stem").limit(CANDIDATES).collect()}
     b = {r[0]: r[1] for r in _stem_counts(texts.where("toxic = 0"), set(a)).collect()}
     weight = {s: math.log((k + 0.5) / (n1 + 1)) - math.log((b.get(s, 0) + 0.5) / (n0 + 1)) for s, k in a.items()}
-    # of the stems of a length that are in k toxic texts, so many would be in toxic texts alone by chance
+    # of the stems of a length that are in k toxic texts, so many (as a logarithm) would be there by chance
     ranks = {n: sorted((k for s, k in a.items() if len(s) == n), reverse=True) for n in STEM_LENGTHS}
-    chance = {s: bisect_right(ranks[len(s)], -k, key=lambda v: -v) * (n1 / (n0 + n1)) ** k for s, k in a.items()}
+    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    chance = {s: math.log(bisect_right(ranks[len(s)], -k, key=lambda v: -v)) + log_choose(k + b.get(s, 0), k) + k * math.log(n1 / (n0 + n1)) for s, k in a.items()}
+    # the longest beginning that says the same is the surest one
+    longer: dict[str, int] = {}
+    for s, k in a.items():
+        longer[s[:-1]] = max(longer.get(s[:-1], 0), k)
     for s in sorted(weight, key=lambda s: (len(s), s)):
-        if weight[s] < MIN_WEIGHT or chance[s] > 1:
+        if weight[s] < MIN_WEIGHT or chance[s] > math.log(MAX_CHANCE) or longer.get(s, 0) >= 0.95 * a[s]:
             continue
         if not any(s[:k] in stems and stems[s[:k]] >= 0.7 * weight[s] for k in range(3, len(s))):
             stems[s] = weight[s]
