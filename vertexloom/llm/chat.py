@@ -24,8 +24,8 @@ Renderer = Callable[[list[Turn]], str]
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>"]
 _CONTROL = re.compile("|".join(f"(?={re.escape(c)})" for c in CONTROL))
 OPEN, CLOSE, END = "<|turn|>", "<|text|>", "<|end|>\n"
-#: Renderings of prefixes restart from an anchor after this many turns, once the splice is checked.
-ANCHOR = 256
+#: Renderings of prefixes restart from an anchor after this many turns; the splices are checked.
+ANCHOR = 16
 PROBE = "\x02\x03"
 
 
@@ -60,31 +60,35 @@ def parse(formatted: str) -> list[Turn]:
 def spans(turns: list[Turn], renderer: Renderer = render, anchor: int = ANCHOR) -> tuple[str, list[tuple[int, int]], bool]:
     """The complete rendering, each turn's text span in it (start, end), and whether history is rewritten.
 
-    Prefixes are rendered from an anchor turn on: after every ``anchor`` turns the complete prefix is
-    rendered once and must equal what the pieces give, else the whole conversation is done with
-    complete prefixes. A turn whose text can't be located has the span (-1, -1).
+    Prefixes are rendered from the last turn of the ``anchor`` turns before, so a long conversation
+    costs time in proportion to its length. What the pieces add up to must equal the complete rendering
+    of the first anchor, 2 anchor, 4 anchor, ... turns and of all turns; else complete prefixes are
+    used throughout. A turn whose text can't be located has the span (-1, -1).
     """
     whole = renderer(turns)
-    at, base, start, before, found = 0, "", 0, "", []
-    for i in range(len(turns)):
-        if i - start == anchor:
-            full, piece = renderer(turns[:i]), base + before
-            if full != piece:
-                return spans(turns, renderer, len(turns) + 1)
-            base, start, before = full, i, ""
-        now = renderer(turns[start : i + 1])
+    lo, before, pieces, size, shift, check, found = 0, "", [], 0, 0, anchor, []
+    for i, (role, _) in enumerate(turns):
+        if i and i % anchor == 0:
+            if i == check:
+                check *= 2
+                if renderer(turns[:i]) != "".join(pieces):
+                    return spans(turns, renderer, len(turns) + 1)
+            lo = i - 1
+            before = renderer(turns[lo:i])
+            shift = size - len(before)
+        now = renderer(turns[lo : i + 1])
         if not now.startswith(before):
-            return _in_whole(turns, renderer, whole)
-        probed = renderer([*turns[start:i], (turns[i][0], PROBE)])
+            return _in_whole(turns, renderer, whole) if anchor > len(turns) else spans(turns, renderer, len(turns) + 1)
+        probed = renderer([*turns[lo:i], (role, PROBE)])
         head = probed.find(PROBE, len(before))
         tail = len(probed) - head - len(PROBE)
-        if head < 0 or now[:head] != probed[:head] or now[len(now) - tail :] != probed[head + len(PROBE) :]:
-            found.append((-1, -1))
-        else:
-            found.append((len(base) + head, len(base) + len(now) - tail))
-        before, at = now, i
-    if base + before != whole:
-        return spans(turns, renderer, len(turns) + 1) if start else _in_whole(turns, renderer, whole)
+        ok = head >= 0 and head + tail <= len(now) and now[:head] == probed[:head] and now[len(now) - tail :] == probed[head + len(PROBE) :]
+        found.append((shift + head, shift + len(now) - tail) if ok else (-1, -1))
+        pieces.append(now[len(before) :])
+        size += len(pieces[-1])
+        before = now
+    if "".join(pieces) != whole:
+        return _in_whole(turns, renderer, whole) if anchor > len(turns) else spans(turns, renderer, len(turns) + 1)
     return whole, found, False
 
 
