@@ -23,6 +23,7 @@ Renderer = Callable[[list[Turn]], str]
 # Strings that steer a chat model and that no text may put into the output.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>"]
 _CONTROL = re.compile("|".join(f"(?={re.escape(c)})" for c in CONTROL))
+_FIRST = {c[0] for c in CONTROL}
 OPEN, CLOSE, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: Renderings of prefixes restart from an anchor after this many turns; the splices are checked.
 ANCHOR = 16
@@ -33,6 +34,8 @@ def escape(text: str) -> str:
     """Double backslashes, and put one behind the first character of every control string; overlaps included."""
     out, at = [], 0
     text = text.replace("\\", "\\\\")
+    if not any(c in text for c in _FIRST):
+        return text
     for m in _CONTROL.finditer(text):
         out += [text[at : m.start() + 1], "\\"]
         at = m.start() + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, exact_dedup, licenses, mixing, sharding, substring_dedup, toxicity, url_filter
+from . import chat, decontamination, exact_dedup, licenses, mixing, ngram_join, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_mixing, op4_url_filter, op5_license_scan, op6_decontamination, op7_sharding, op9_exact_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_mixing, op4_url_filter, op5_license_scan, op6_decontamination, op7_sharding, op8_ngram_join, op9_exact_dedup, op10_substring_dedup)}
 
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
