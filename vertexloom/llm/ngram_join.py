@@ -34,6 +34,8 @@ from .textvec import SPACES, mix, pieces, shingles, words
 
 #: Cells of the word count table, a fixed size at any scale; tables merged by one task; leaders of a group; nodes of a block; fan-out of a tree.
 CELLS, FAN_IN, LEADERS, BRANCH, FAN_OUT = 1 << 20, 16, 4, 2048, 8
+#: Blocks of so many nodes are single leaves; the pairs of many leaves are tested together.
+LEAF = 32
 #: Pairs of tree nodes that are looked at together.
 STEP = 50_000
 _U = np.uint64
@@ -138,8 +140,13 @@ def _branches(percent: int):
         same = np.concatenate([[False], token[1:] == token[:-1], [False]])
         keep = same[1:] | same[:-1]
         token, node, n = token[keep], node[keep], n[keep]
-        pairs = []
-        for lo, hi in _groups(token):
+        pairs, groups = [], _groups(token)
+        two = np.array([lo for lo, hi in groups if hi - lo == 2], np.int64)
+        two = two[(100 * n[two] >= percent * n[two + 1]) & (node[two] != node[two + 1])]  # rows are sorted by n
+        pairs.append(np.stack([np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])]))
+        for lo, hi in groups:
+            if hi - lo == 2:
+                continue
             left = np.arange(lo, hi)
             draw = mix(node[lo:hi].astype(_U) ^ mix(np.array([int(token[lo]) % LEADERS], _U)))
             while len(left) > 1:
@@ -160,25 +167,39 @@ def _branches(percent: int):
 
 
 def _open_branches(percent: int):
-    """Branches with more than one component and sizes that can match, as blocks: (block, side, node, n, label)."""
+    """Branches with more than one component and sizes that can match, as blocks: (block, side, node, n, label).
+
+    A pair that is a branch of its own has been verified already. Near copies share many branches with
+    the same nodes; a block is named by its nodes, so they become one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, node, n, label = _all(batches, 4)
         order = np.lexsort((node, n, token))
         token, node, n, label = token[order], node[order], n[order], label[order]
-        out = []
+        out, seen = [], set()
         for lo, hi in _groups(token):
-            if (label[lo:hi] == label[lo]).all():
+            if hi - lo < 3 or (label[lo:hi] == label[lo]).all():
                 continue
-            blocks = [(i, min(i + BRANCH, hi)) for i in range(lo, hi, BRANCH)]
-            for i, (a, b) in enumerate(blocks):
+            if hi - lo <= LEAF:
+                own, own_n, own_label = node[lo:hi], n[lo:hi], label[lo:hi]
+                fits = (percent * np.maximum.outer(own_n, own_n) <= 100 * np.minimum.outer(own_n, own_n)) & (own_label[:, None] != own_label)
+                keep = fits.any(1)
+                blocks = [(own[keep], own_n[keep], own_label[keep])] if keep.any() else []
+            else:
+                blocks = [(node[i:j], n[i:j], label[i:j]) for i in range(lo, hi, BRANCH) for j in [min(i + BRANCH, hi)]]
+            names = [mix(b[0].astype(_U)).sum(dtype=_U) for b in blocks]
+            for i, b in enumerate(blocks):
                 for j in range(i, len(blocks)):
-                    c, d = blocks[j]
-                    if percent * n[c] > 100 * n[b - 1]:
+                    c = blocks[j]
+                    if percent * c[1][0] > 100 * b[1][-1]:
                         break
-                    name = int(mix(np.array([token[lo], i * 1_000_003 + j], np.int64).view(_U)).sum(dtype=_U).view(np.int64))
-                    for side, (p, q) in ((0, (a, b)),) if i == j else ((1, (a, b)), (2, (c, d))):
-                        out.append((np.full(q - p, name), np.full(q - p, side, np.int32), node[p:q], n[p:q], label[p:q]))
+                    name = int(mix(np.array([names[i] * _U(3) + names[j]])).view(np.int64)[0])
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    for side, part in ((0, b),) if i == j else ((1, b), (2, c)):
+                        out.append((np.full(len(part[0]), name), np.full(len(part[0]), side, np.int32), *part))
         if out:
             cols = [np.concatenate(c) for c in zip(*out)]
             for i in range(0, len(cols[0]), 50_000):
@@ -272,18 +293,54 @@ def block_pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray, side: np
                 yield at[x], at2[y]
 
 
+def leaf_pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray, groups: list[tuple[int, int]], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sets that may link, within each of many small groups (start, end)."""
+    upper = {k: np.triu_indices(k, 1) for k in {hi - lo for lo, hi in groups}}
+    x = np.concatenate([np.empty(0, np.int64), *[lo + upper[hi - lo][0] for lo, hi in groups]])
+    y = np.concatenate([np.empty(0, np.int64), *[lo + upper[hi - lo][1] for lo, hi in groups]])
+    ok = (label[x] != label[y]) & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y]))
+    x, y = x[ok], y[ok]
+    width = np.array([len(b) // 8 for b in bitmaps])
+    least = np.minimum(width[x], width[y])
+    for w in np.unique(least).tolist():
+        at = least == w
+        rows, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+        bits = np.empty((len(rows), w), _U)
+        for v in np.unique(width[rows]).tolist():
+            own = width[rows] == v
+            bits[own] = _fold(np.frombuffer(b"".join(bitmaps[i] for i in rows[own]), _U).reshape(-1, v), w)
+        px, py = place[: at.sum()], place[at.sum() :]
+        x_, y_ = x[at], y[at]
+        for i in range(0, len(px), max(1, (1 << 20) // w)):
+            t = slice(i, i + max(1, (1 << 20) // w))
+            differ = np.bitwise_count(bits[px[t]] ^ bits[py[t]]).sum(1, dtype=np.int64)
+            near = differ * (100 + percent) <= (100 - percent) * (n[x_[t]] + n[y_[t]])
+            yield x_[t][near], y_[t][near]
+
+
+def _moved(by: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in pairs:
+        yield by + x, by + y
+
+
 def _tree_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches), pa.schema([("block", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("bitmap", pa.binary())]))
-        block = held["block"].to_numpy()
-        order = np.argsort(block, kind="stable")
-        side, node, n, label = (held[c].to_numpy()[order] for c in ("side", "node", "n", "label"))
-        bitmap = held["bitmap"]
-        for lo, hi in _groups(block[order]):
-            own = bitmap.take(pa.array(order[lo:hi])).to_pylist()
-            for x, y in block_pairs(own, n[lo:hi], label[lo:hi], side[lo:hi], percent):
-                a, b = node[lo:hi][x], node[lo:hi][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        order = np.lexsort((held["node"].to_numpy(), held["side"].to_numpy(), held["block"].to_numpy()))
+        block, side, node, n, label = (held[c].to_numpy()[order] for c in ("block", "side", "node", "n", "label"))
+        # the same block may come from several tasks
+        once = np.ones(len(order), bool)
+        once[1:] = (block[1:] != block[:-1]) | (side[1:] != side[:-1]) | (node[1:] != node[:-1])
+        order, block, side, node, n, label = order[once], block[once], side[once], node[once], n[once], label[once]
+        bitmap = held["bitmap"].take(pa.array(order)).to_pylist()
+        groups = _groups(block)
+        found = [leaf_pairs(bitmap, n, label, [g for g in groups if g[1] - g[0] <= LEAF], percent)]
+        found += [_moved(lo, block_pairs(bitmap[lo:hi], n[lo:hi], label[lo:hi], side[lo:hi], percent)) for lo, hi in groups if hi - lo > LEAF]
+        for pairs in found:
+            for x, y in pairs:
+                if len(x):
+                    a, b = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
