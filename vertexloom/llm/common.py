@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexloom.plans.lineage import shared_dir
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -16,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="vertexloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 

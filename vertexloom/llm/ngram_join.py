@@ -138,7 +138,7 @@ def _branches(percent: int):
         order = np.lexsort((node, n, token))
         token, node, n = token[order], node[order], n[order]
         same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-        keep = same[1:] | same[:-1]
+        keep = (same[1:] | same[:-1])[: len(token)]
         token, node, n = token[keep], node[keep], n[keep]
         pairs, groups = [], _groups(token)
         two = np.array([lo for lo, hi in groups if hi - lo == 2], np.int64)
@@ -188,13 +188,13 @@ def _open_branches(percent: int):
                 blocks = [(own[keep], own_n[keep], own_label[keep])] if keep.any() else []
             else:
                 blocks = [(node[i:j], n[i:j], label[i:j]) for i in range(lo, hi, BRANCH) for j in [min(i + BRANCH, hi)]]
-            names = [mix(b[0].astype(_U)).sum(dtype=_U) for b in blocks]
+            names = np.array([mix(b[0].astype(_U)).sum(dtype=_U) for b in blocks], _U)
             for i, b in enumerate(blocks):
                 for j in range(i, len(blocks)):
                     c = blocks[j]
                     if percent * c[1][0] > 100 * b[1][-1]:
                         break
-                    name = int(mix(np.array([names[i] * _U(3) + names[j]])).view(np.int64)[0])
+                    name = int(mix(names[i : i + 1] * _U(3) + names[j : j + 1]).view(np.int64)[0])
                     if name in seen:
                         continue
                     seen.add(name)
