@@ -3,7 +3,7 @@
 Exact: no pair of texts at the threshold is lost.
 
 1. Texts with equal shingle sets become one node. A node has a bitmap (each shingle sets one bit of
-   at least two for each shingle) and routing shingles: with n shingles and threshold t, two linked
+   at least BITS for each shingle) and routing shingles: with n shingles and threshold t, two linked
    sets share one of the first n - ceil(t n) + 1 shingles of both, in any common order. The order is by
    the count of the shingle's rarest word, from a table of word counts of all texts, then by hash, so
    that passages of many texts route nothing while there are rarer ones.
@@ -21,6 +21,7 @@ can match go to tasks of their own.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from .textvec import SPACES, mix, pieces, shingles, words
 CELLS, FAN_IN, LEADERS, BRANCH, FAN_OUT = 1 << 20, 16, 4, 2048, 8
 #: Blocks of so many nodes are single leaves; the pairs of many leaves are tested together.
 LEAF = 32
+#: Bits of a bitmap for each shingle, at least: with 16, about one difference in twenty is hidden by a shared bit. They are kept deflated.
+BITS = 16
 #: Pairs of tree nodes that are looked at together.
 STEP = 50_000
 _U = np.uint64
@@ -78,7 +81,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = max(64, 1 << (BITS * len(s) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(s & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -106,7 +109,7 @@ def _signatures(k: int, percent: int, rarity, ends: np.ndarray):
                     p = len(x) + (-percent * len(x)) // 100 + 1
                     route = x[np.argpartition(key, p - 1)[:p]]
                     d1, d2 = (int(mix(x ^ _U(c)).sum(dtype=_U).view(np.int64)) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
-                    rows.append((len(x), d1, d2, _bitmap(x), route.view(np.int64)))
+                    rows.append((len(x), d1, d2, zlib.compress(_bitmap(x), 1), route.view(np.int64)))
                 n, d1, d2, bitmap, route = zip(*rows)
                 at_route = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in route])]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.int64), *[r for r in route if r is not None]])
@@ -332,7 +335,7 @@ def _tree_pairs(percent: int):
         once = np.ones(len(order), bool)
         once[1:] = (block[1:] != block[:-1]) | (side[1:] != side[:-1]) | (node[1:] != node[:-1])
         order, block, side, node, n, label = order[once], block[once], side[once], node[once], n[once], label[once]
-        bitmap = held["bitmap"].take(pa.array(order)).to_pylist()
+        bitmap = [zlib.decompress(x.as_buffer()) for x in held["bitmap"].take(pa.array(order))]
         groups = _groups(block)
         found = [leaf_pairs(bitmap, n, label, [g for g in groups if g[1] - g[0] <= LEAF], percent)]
         found += [_moved(lo, block_pairs(bitmap[lo:hi], n[lo:hi], label[lo:hi], side[lo:hi], percent)) for lo, hi in groups if hi - lo > LEAF]
@@ -356,7 +359,7 @@ def _by_bitmap(percent: int):
             n = b.column(2).to_numpy() + b.column(3).to_numpy()
             ok = []
             for total, p, q in zip(n.tolist(), b.column(4), b.column(5)):
-                p, q = np.frombuffer(p.as_buffer(), _U)[None], np.frombuffer(q.as_buffer(), _U)[None]
+                p, q = (np.frombuffer(zlib.decompress(x.as_buffer()), _U)[None] for x in (p, q))
                 w = min(p.shape[1], q.shape[1])
                 ok.append(int(np.bitwise_count(_fold(p, w) ^ _fold(q, w)).sum()) * (100 + percent) <= (100 - percent) * total)
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
