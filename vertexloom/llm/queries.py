@@ -58,8 +58,38 @@ def queries() -> dict:
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Added characters of an escaped text: one for each backslash and for each control string.
+_ESCAPED = " + ".join(["length({0})"] + [f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROL]])
+_MARKS = len(chat.OPEN + chat.CLOSE + chat.END)
+
+
+def _shingles(table: str, key: str, pattern: str, k: int) -> str:
+    """CTE bodies: words of each row, and its distinct shingles (a row of fewer words is one)."""
+    return f"""{table}_w AS (SELECT {key} AS id, regexp_extract_all({ASCII_LOWER}, '{pattern}') AS w FROM {table}),
+{table}_s AS (SELECT DISTINCT id, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {k - 2}, 2))) AS i FROM {table}_w WHERE len(w) > 0)),
+{table}_n AS (SELECT id, count(*) AS n FROM {table}_s GROUP BY id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum({_MARKS} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, false AS rewrites_history FROM c""",
+        "op6_decontamination": f"""
+WITH {_shingles("documents", "doc_id", "[a-z0-9\\x{80}-\\x{10FFFF}]+", 5)},
+{_shingles("benchmark", "item_id", "[a-z0-9\\x{80}-\\x{10FFFF}]+", 5)},
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM documents_s d JOIN benchmark_s b USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, n_shared, n_shared / n AS containment FROM m JOIN benchmark_n ON id = item_id WHERE 5 * n_shared >= 4 * n""",
+        "op8_ngram_join": f"""
+WITH RECURSIVE {_shingles("documents", "doc_id", "[^\\x20\\x09-\\x0D]+", 3)},
+shared AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM documents_s a JOIN documents_s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+link AS (SELECT x, y FROM shared JOIN documents_n p ON p.id = x JOIN documents_n q ON q.id = y WHERE 100 * shared.n >= 90 * (p.n + q.n - shared.n)),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, y FROM reach JOIN link ON x = other)
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN documents_n USING (id) GROUP BY id""",
         "op9_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({ASCII_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
