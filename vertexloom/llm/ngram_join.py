@@ -34,7 +34,7 @@ from .components import components
 from .textvec import SPACES, mix, pieces, shingles, words
 
 #: Cells of the word count table, a fixed size at any scale; tables merged by one task; leaders of a group; nodes of a block; fan-out of a tree.
-CELLS, FAN_IN, LEADERS, BRANCH, FAN_OUT = 1 << 20, 16, 4, 2048, 8
+CELLS, FAN_IN, LEADERS, BRANCH, FAN_OUT = 1 << 20, 16, 16, 2048, 8
 #: Blocks of so many nodes are single leaves; the pairs of many leaves are tested together.
 LEAF = 32
 #: Bits of a bitmap for each shingle, at least: with 16, about one difference in twenty is hidden by a shared bit. They are kept deflated.
