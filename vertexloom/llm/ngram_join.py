@@ -214,6 +214,11 @@ def _open_branches(percent: int):
 # ---- signature trees
 
 
+def most_differing(total, percent: int):
+    """In how many shingles two linked sets of together ``total`` shingles may differ: what the least whole overlap leaves."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
 class SignatureTree:
     """Levels from the sets up to at most FAN_OUT nodes: OR bitmaps, least set bits, size range, label (-1: several)."""
 
@@ -251,7 +256,8 @@ def dual_traversal(s: SignatureTree, t: SignatureTree, percent: int) -> Iterator
         ok = (percent * sl[x] <= 100 * th[y]) & (percent * tl[y] <= 100 * sh[x]) & ~((sc[x] == tc[y]) & (sc[x] >= 0))
         x, y = x[ok], y[ok]
         shared = np.bitwise_count(sb[x] & tb[y]).sum(1, dtype=np.int64)
-        ok = (sp[x] + tp[y] - 2 * shared) * (100 + percent) <= (100 - percent) * (sh[x] + th[y])
+        differ = sp[x] + tp[y] - 2 * shared
+        ok = differ * (100 + percent) <= (100 - percent) * (sh[x] + th[y]) if level else differ <= most_differing(sh[x] + th[y], percent)
         x, y = x[ok], y[ok]
         if not level:
             yield x, y
@@ -317,7 +323,7 @@ def leaf_pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray, groups: l
         for i in range(0, len(px), max(1, (1 << 20) // w)):
             t = slice(i, i + max(1, (1 << 20) // w))
             differ = np.bitwise_count(bits[px[t]] ^ bits[py[t]]).sum(1, dtype=np.int64)
-            near = differ * (100 + percent) <= (100 - percent) * (n[x_[t]] + n[y_[t]])
+            near = differ <= most_differing(n[x_[t]] + n[y_[t]], percent)
             yield x_[t][near], y_[t][near]
 
 
@@ -361,7 +367,7 @@ def _by_bitmap(percent: int):
             for total, p, q in zip(n.tolist(), b.column(4), b.column(5)):
                 p, q = (np.frombuffer(zlib.decompress(x.as_buffer()), _U)[None] for x in (p, q))
                 w = min(p.shape[1], q.shape[1])
-                ok.append(int(np.bitwise_count(_fold(p, w) ^ _fold(q, w)).sum()) * (100 + percent) <= (100 - percent) * total)
+                ok.append(int(np.bitwise_count(_fold(p, w) ^ _fold(q, w)).sum()) <= most_differing(total, percent))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
