@@ -423,6 +423,31 @@ def test_repeated_passages_go_once(spark):
     assert substring_dedup.repeated_spans(docs.where("false")).count() == 0
 
 
+def test_repeated_short_lines_go_whatever_their_length(spark, tmp_path):
+    from vertexloom.llm import queries
+
+    rnd = random.Random(8)
+    lines = ["Released under the MIT license.", "ok", " All  rights reserved ", "one two three four five six seven eight nine"]
+    fresh = lambda: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(8)) for _ in range(rnd.randint(1, 9)))
+    rows = [(i, "\n".join(fresh() if rnd.random() < 0.5 else rnd.choice(lines) for _ in range(rnd.randint(1, 12))), "s") for i in range(60)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for i, t, _ in rows:
+        at = 0
+        for line in t.split("\n"):
+            u = " ".join(low(line).split())
+            if u in seen:
+                want.setdefault(i, set()).update(range(t.index(line, at), at + len(line.rstrip())))
+            seen.add(u)
+            at += len(line) + 1
+    got = {}
+    for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    text = {i: t for i, t, _ in rows}
+    solid = lambda spans: {i: {p for p in at if not text[i][p].isspace()} for i, at in spans.items()}
+    assert solid(got) == solid(want)
+
+
 # ---- hashes
 
 

@@ -48,7 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), short_lines=True)
 
 
 def queries() -> dict:

@@ -5,7 +5,8 @@ pair is the smallest within REACH pairs on either side. Such cuts depend on near
 passage that is pasted into the middle of other lines has the same inner units everywhere; units of
 long lines have more than REACH words. Units are normalised (A-Z lower-cased, white space
 collapsed) and hashed to 128 bits; of equal units the occurrence with the smallest (doc_id, offset)
-stays and all others go, if they stand in a run of removed units of MIN_WORDS words or more.
+stays and all others go, if they stand in a run of removed units of MIN_WORDS words or more or, with
+``short_lines``, are a whole line of any length.
 
 Each map task settles the repeats among its own rows first, so even a unit of every document reaches
 the shuffle only once a task; one shuffle of 64-byte rows decides the rest.
@@ -29,8 +30,8 @@ REACH, MIN_WORDS = 4, 10
 ROWS_AT_ONCE = 1_000_000
 _U = np.uint64
 _NULL_ID = np.iinfo(np.int64).max
-_COLUMNS = ["d1", "d2", "doc_id", "start", "end", "n_words", "repeat", "seen_doc_id", "seen_start"]
-_SCHEMA = "d1 long, d2 long, doc_id long, start long, end long, n_words int, repeat boolean, seen_doc_id long, seen_start long"
+_COLUMNS = ["d1", "d2", "doc_id", "start", "end", "n_words", "line", "repeat", "seen_doc_id", "seen_start"]
+_SCHEMA = "d1 long, d2 long, doc_id long, start long, end long, n_words int, line boolean, repeat boolean, seen_doc_id long, seen_start long"
 
 
 def _word_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -44,14 +45,14 @@ def _word_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, ...]:
-    """Units of a piece of a column: d1, d2, text number, start and end in code points, words.
+    """Units of a piece of a column: d1, d2, text number, start and end in code points, words, is it a whole line.
 
     A unit runs from the end of the one before it (or the text's start) to the end of its last word.
     """
     h, wat = words(data, offsets)
     n = len(h)
     if not n:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return (*(np.empty(0, np.int64) for _ in range(6)), np.empty(0, bool))
     end = _word_ends(data, offsets)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     last = np.zeros(n, bool)  # the last word of its line or text
@@ -85,7 +86,7 @@ def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple[np
     stop = chars[end[cut_after]] - base
     start = np.concatenate([[0], stop[:-1]])
     start[np.concatenate([[True], text[1:] != text[:-1]])] = 0
-    return d[0], d[1], text, start, stop, cut_after - first + 1
+    return d[0], d[1], text, start, stop, cut_after - first + 1, last[cut_after] & last[first - 1]
 
 
 def _settle(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -113,8 +114,8 @@ def _map(reach: int):
         for b in batches:
             ids = b.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
             for row, data, at in pieces(b.column(1)):
-                d1, d2, text, start, stop, k = units(data, at, reach)
-                held.append((d1, d2, ids[row + text], start, stop, k.astype(np.int32)))
+                d1, d2, text, start, stop, k, line = units(data, at, reach)
+                held.append((d1, d2, ids[row + text], start, stop, k.astype(np.int32), line))
                 n += len(d1)
                 if n >= ROWS_AT_ONCE:
                     yield from _batches(_settle(_joined(held)))
@@ -129,19 +130,20 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of equal units come to one task; what map tasks found to repeat is already settled."""
     held = []
     for b in batches:
-        done = b.column(6).to_numpy(zero_copy_only=False)
+        done = b.column(7).to_numpy(zero_copy_only=False)
         if done.any():
-            yield b.filter(b.column(6))
+            yield b.filter(b.column(7))
         keep = b.filter(pa.array(~done))
-        held.append(tuple(keep.column(i).to_numpy() for i in range(6)))
+        held.append(tuple(keep.column(i).to_numpy(zero_copy_only=False) for i in range(7)))
     if held:
         t = _settle(_joined(held))
         yield from _batches({c: v[t["repeat"]] for c, v in t.items()})
 
 
-def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """Spans to remove: doc_id, start, end (code points of the original text), n_words, seen_doc_id, seen_start.
 
+    Runs of fewer than ``min_words`` words stay; with ``short_lines``, the whole lines among them go too.
     seen_* is an earlier ranked occurrence of the span's first unit. Null doc_ids rank last and come
     back as null; rows that share a doc_id rank by offset, and of wholly equal rows one is first. Null
     texts have no units. doc_id must be an integer.
@@ -151,9 +153,13 @@ def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WOR
     gone = found.repartition(n_parts(docs.sparkSession), to).mapInArrow(_reduce, _SCHEMA)
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     runs = gone.select("*", F.lag("end").over(w).alias("_end")).withColumn("_run", F.sum(F.when(F.col("start") == F.col("_end"), 0).otherwise(1)).over(w))
-    spans = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by(F.struct("seen_doc_id", "seen_start"), "start").alias("_seen"))
+    # of a run that is too short, only its whole lines can go, and other units part them
+    whole = F.col("line") if short_lines else F.lit(False)
+    runs = runs.select("*", F.sum(F.when(whole, 0).otherwise(1)).over(w).alias("_part"), (F.sum("n_words").over(Window.partitionBy("doc_id", "_run")) >= min_words).alias("_long"))
+    runs = runs.where(F.col("_long") | whole).withColumn("_part", F.when(F.col("_long"), 0).otherwise(F.col("_part")))
+    spans = runs.groupBy("doc_id", "_run", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by(F.struct("seen_doc_id", "seen_start"), "start").alias("_seen"))
     real = lambda c: F.when(c != _NULL_ID, c)
-    return spans.where(F.col("n_words") >= min_words).select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_words", real(F.col("_seen.seen_doc_id")).alias("seen_doc_id"), F.col("_seen.seen_start").alias("seen_start"))
+    return spans.select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_words", real(F.col("_seen.seen_doc_id")).alias("seen_doc_id"), F.col("_seen.seen_start").alias("seen_start"))
 
 
 def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
