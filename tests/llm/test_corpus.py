@@ -140,6 +140,33 @@ def test_mixing_keeps_lag_below_a_block(spark):
         assert all(abs(done[k] - w * (slot + 1)) < 1 for k, w in weights.items()), (slot, done)
 
 
+@pytest.mark.parametrize("sizes", [[9000, 1000], [6000] + [300] * 19, [3000] + [17] * 30 + [400] * 9])
+def test_mixing_follows_exact_weights_over_many_cycles(spark, sizes):
+    rows, shares = [], {}
+    for j, n in enumerate(sizes):
+        rows += [(len(rows) + i, "t", f"s{j:02}") for i in range(n)]
+        shares[f"s{j:02}"] = n**0.7
+    total = sum(shares.values())
+    for weights, share in ((None, {k: v / total for k, v in shares.items()}), ({"s00": 0.5}, {k: 0.5 if k == "s00" else 0.5 * v / (total - shares["s00"]) for k, v in shares.items()})):
+        got = mixing.mix(docs_of(spark, rows), weights, block=1, cycle=100).orderBy("position").collect()
+        assert [r["position"] for r in got] == list(range(len(rows))) and len({r["doc_id"] for r in got}) == len(rows)
+        assert all(a["slot"] <= b["slot"] for a, b in zip(got, got[1:]))
+        done, left = dict.fromkeys(share, 0), {f"s{j:02}": n for j, n in enumerate(sizes)}
+        for t, r in enumerate(got):
+            assert r["slot"] == t
+            done[r["source"]] += 1
+            assert all(abs(done[k] - w * (t + 1)) < 1 + 1e-4 for k, w in share.items()), (t, done)
+            if any(done[k] == left[k] for k in done):
+                break
+        assert t > 250
+
+
+def test_mixing_of_a_source_without_weight(spark):
+    rows = [(i, "t", "a" if i < 300 else "b") for i in range(400)]
+    got = mixing.mix(docs_of(spark, rows), {"a": 1.0}, block=4, cycle=100).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(400)) and {r["source"] for r in got[:300]} == {"a"}
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs_of(spark, [(1, "x", "a")]).where("false")).count() == 0
     same = docs_of(spark, [(1, "x", "a")] * 4 + [(None, "y", None)])

@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame expressions only.
 
-Documents of a source are shuffled by a seeded hash and cut into blocks. With weight a / W (a whole
-number of blocks in each cycle of W slots), block k of a source is released at floor(k W / a) and due
-at ceil((k + 1) W / a); every slot takes the released block that is due first. On one processor this
-keeps each source within one block of a / W times the slots passed. The schedule repeats after W
-slots, so one cycle of W rows is computed (a fold over the slots, as one SQL expression) and every
-block finds its slot from the cycle number and its place in the cycle.
+Documents of a source are shuffled by a seeded hash and cut into blocks. With weight w (a whole number
+of UNIT-ths), block k of a source is released at floor(k / w) and due at ceil((k + 1) / w); every slot
+takes the released block that is due first. On one processor this keeps each source within one block
+of w times the slots passed, however long the schedule.
+
+The schedule is computed in cycles, each by itself: a state in which every source has floor(w T) or
+floor(w T) + 1 blocks, those due first, is sure to meet all later dues, and a cycle of schedule from
+there leads to the state at the next cycle's start. Between two such states a cycle takes just the
+blocks that lie between them, so no block is lost or repeated. (That each state leads exactly to the
+next is tested, not proven; if one did not, some blocks would come before their release.)
 """
 
 from __future__ import annotations
@@ -13,49 +17,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, n_parts, ranked
 
-#: Slots of a cycle: weights are rounded to this resolution (at least ten slots a source, on average).
+#: Slots of a cycle, which one task computes (at least ten slots a source, on average).
 CYCLE = 1000
+#: Weights are whole numbers of this part.
+UNIT = 10**9
+#: Slots are computed up to so many times the number of blocks; what is left then are sources of tiny weight.
+HORIZON = 4
 BLOCK = 32
 #: Default weights: shares proportional to rows ** TEMPERATURE, which lifts small sources.
 TEMPERATURE = 0.7
 SEED = 7
 
 
-def _cycle_counts(sources: DataFrame, cycle: Column) -> DataFrame:
-    """Add ``a``: whole slots of a cycle for each source, at least one, that sum to the cycle (largest remainders)."""
-    every, order = Window.partitionBy(), Window.orderBy(F.col("_frac").desc(), F.col("src"))
-    spare = cycle - F.count(F.lit(1)).over(every)
-    raw = spare * F.col("w") / F.sum("w").over(every)
-    out = sources.select("*", cycle.cast("int").alias("cycle"), raw.alias("_raw")).select("*", (F.col("_raw") - F.floor("_raw")).alias("_frac"))
-    return out.select("src", "n", "cycle", (1 + F.floor("_raw") + F.when(F.row_number().over(order) <= F.col("cycle") - F.sum(1 + F.floor("_raw")).over(every), 1).otherwise(0)).cast("long").alias("a"))
+def _whole_weights(sources: DataFrame) -> DataFrame:
+    """src, n, blocks and ``a``: the weight in UNIT-ths, at least one, that sum to UNIT (largest remainders)."""
+    every, order = Window.partitionBy(), Window.orderBy((F.col("_raw") - F.floor("_raw")).desc(), F.col("src"))
+    out = sources.select("*", (F.col("w") / F.sum("w").over(every) * UNIT).alias("_raw"))
+    more = F.when(F.row_number().over(order) <= UNIT - F.sum(F.floor("_raw")).over(every), 1).otherwise(0)
+    out = out.select("src", "n", "blocks", F.greatest(F.lit(1), F.floor("_raw") + more).cast("long").alias("a"))
+    largest = F.row_number().over(Window.orderBy(F.col("a").desc(), F.col("src"))) == 1
+    return out.select("src", "n", "blocks", (F.col("a") - F.when(largest, F.sum("a").over(every) - UNIT).otherwise(0)).alias("a"))
 
 
-EDF = """
-aggregate(sequence(0, cycle - 1),
-  named_struct('k', transform(srcs, x -> 0L), 'out', cast(array() as array<int>)),
+#: Blocks of each source before slot ``since``, those due first taken up to a whole number of slots.
+FROM = f"""
+aggregate(
+  slice(array_sort(filter(transform(srcs, (x, i) -> if(x.a * since % {UNIT} = 0, null, named_struct('due', ((x.a * since div {UNIT} + 1) * {UNIT} + x.a - 1) div x.a, 'i', i))), x -> x is not null)),
+        1, cast(since - aggregate(srcs, 0L, (n, x) -> n + x.a * since div {UNIT}) as int)),
+  transform(srcs, x -> x.a * since div {UNIT}),
+  (k, p) -> transform(k, (v, j) -> if(j = p.i, v + 1L, v)))
+"""
+
+
+def _edf(start: str, until: str, room: str = "true") -> str:
+    """Earliest deadline first over the slots since .. until - 1: k (blocks of each source then) and out (source of each slot)."""
+    return f"""
+aggregate(if(since < {until}, sequence(since, {until} - 1), cast(array() as array<bigint>)),
+  named_struct('k', {start}, 'out', cast(array() as array<int>)),
   (st, t) -> transform(array(
-      array_min(transform(srcs, (x, i) -> if(st.k[i] * cycle div x.a <= t, named_struct('due', ((st.k[i] + 1) * cycle + x.a - 1) div x.a, 'i', i), null))).i),
-    p -> named_struct('k', transform(st.k, (v, i) -> if(i = p, v + 1L, v)), 'out', array_append(st.out, p)))[0],
-  st -> st.out)
+      array_min(transform(srcs, (x, i) -> if({room}, if(st.k[i] * {UNIT} div x.a <= t,
+        named_struct('late', 0, 'at', ((st.k[i] + 1) * {UNIT} + x.a - 1) div x.a, 'i', i),
+        named_struct('late', 1, 'at', st.k[i] * {UNIT} div x.a, 'i', i)), null))).i),
+    p -> named_struct('k', transform(st.k, (v, i) -> if(i = p, v + 1L, v)), 'out', array_append(st.out, p)))[0])
 """
 
 
-def pfair_cycle(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """weights: src, n (rows), w (weight > 0). One row per slot of the cycle.
+def pfair_slots(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
+    """weights: src, n (rows), blocks, w (weight > 0). One row per block: src, block, slot, cycle (the slot's), n.
 
-    Columns: src, slot, place (blocks of that source before it in the cycle), cycle, and for the closed
-    form of positions: ns, as_, before (rows, blocks a cycle, and blocks before the slot, of all sources).
+    Slots are distinct up to HORIZON times the number of blocks. Long before that a source has run
+    out; blocks of sources that last longer stand at their due slots.
     """
-    counted = _cycle_counts(weights, F.greatest(F.lit(cycle), 10 * F.count(F.lit(1)).over(Window.partitionBy())))
-    one = counted.groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("src", "a", "n"))).alias("srcs"))
-    slots = one.withColumn("order", F.expr(EDF)).select("cycle", "srcs", F.posexplode("order").alias("slot", "i"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    # the running counts of all sources at each slot: one narrow map of the cycle's own picks
-    hist = slots.select("*", F.coalesce(F.collect_list("i").over(before), F.array()).alias("_picked"))
-    hist = hist.withColumn("before", F.expr("aggregate(_picked, transform(srcs, x -> 0L), (c, p) -> transform(c, (v, j) -> if(j = p, v + 1L, v)))"))
-    return hist.select(F.col("srcs")[F.col("i")]["src"].alias("src"), "slot", F.col("before")[F.col("i")].alias("place"), "cycle", F.col("srcs")["n"].alias("ns"), F.col("srcs")["a"].alias("as_"), "before")
+    parts = n_parts(weights.sparkSession)
+    whole = cut(_whole_weights(weights))
+    due = F.expr(f"(blocks * {UNIT} + a - 1) div a")
+    one = whole.agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("srcs"), F.least(F.max(due), HORIZON * F.sum("blocks")).alias("_slots"))
+    one = one.where("_slots > 0").withColumn("length", F.greatest(F.lit(cycle), 10 * F.size("srcs")).cast("long"))
+    starts = one.select("srcs", "length", F.explode(F.expr("sequence(0L, (_slots + length - 1) div length)")).alias("c")).repartition(parts, "c")
+    # the state at each cycle's start, from a cycle before
+    states = starts.withColumn("since", F.greatest(F.lit(0).cast("long"), (F.col("c") - 1) * F.col("length")))
+    states = cut(states.select("srcs", "length", "c", F.expr(_edf(FROM, "c * length"))["k"].alias("k")))
+    both = states.join(states.select((F.col("c") - 1).alias("c"), F.col("k").alias("hi")), "c").withColumn("since", F.col("c") * F.col("length"))
+    picks = both.select("srcs", "since", "k", F.posexplode(F.expr(_edf("k", "since + length", "st.k[i] < hi[i]"))["out"]).alias("at", "i"))
+    place = F.row_number().over(Window.partitionBy("since", "i").orderBy("at")) - 1
+    slots = picks.select(F.col("srcs")[F.col("i")]["src"].alias("src"), (F.col("k")[F.col("i")] + place).alias("block"), (F.col("since") + F.col("at")).alias("slot"))
+    blocks = whole.where("blocks > 0").select("src", "n", "a", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+    out = blocks.join(slots, ["src", "block"], "left").crossJoin(F.broadcast(one.select("length")))
+    out = out.withColumn("slot", F.coalesce("slot", F.expr(f"((block + 1) * {UNIT} + a - 1) div a - 1")))
+    return out.select("src", "block", "slot", F.expr("slot div length").alias("cycle"), "n")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, cycle: int = CYCLE, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -79,14 +110,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         w = F.coalesce(given.cast("double"), F.greatest(left, F.lit(1e-9)) * natural / rest)
     else:
         w = natural
-    plan = cut(pfair_cycle(sizes.select("src", "n", w.alias("w")), cycle))
-    per_cycle = plan.groupBy("src").agg(F.count(F.lit(1)).alias("per_cycle"))
-    rows = base.join(F.broadcast(per_cycle), "src").select("*", F.floor(F.col("_r") / block).cast("long").alias("block"))
-    rows = rows.select("*", F.expr("block div per_cycle").alias("_c"), (F.col("block") % F.col("per_cycle")).alias("place"))
-    rows = rows.join(F.broadcast(plan), ["src", "place"])
-    # rows of every source that are scheduled before this slot: whole blocks, or all the source has
-    earlier = F.aggregate(F.arrays_zip("ns", "as_", "before"), F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["ns"], F.lit(block) * (F.col("_c") * x["as_"] + x["before"])))
-    return rows.select("doc_id", "source", "block", (F.col("_c") * F.col("cycle") + F.col("slot")).alias("slot"), (earlier + F.col("_r") % block).alias("position"))
+    blocks = F.expr(f"(n + {block} - 1) div {block}").alias("blocks")
+    plan = pfair_slots(sizes.select("src", "n", blocks, w.alias("w")), cycle)
+    plan = cut(plan.select("*", F.least(F.lit(block), F.col("n") - F.col("block") * block).alias("size")))
+    # rows before each block: those of the cycles before, and those of its cycle's slots before
+    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cycles = plan.groupBy("cycle").agg(F.sum("size").alias("size")).select("cycle", before(Window.orderBy("cycle")).alias("_earlier"))
+    plan = plan.select("src", "block", "slot", "cycle", before(Window.partitionBy("cycle").orderBy("slot", "src")).alias("_before")).join(cycles, "cycle").drop("cycle")
+    rows = base.withColumn("block", F.expr(f"_r div {block}")).join(plan, ["src", "block"])
+    return rows.select("doc_id", "source", "block", "slot", (F.col("_earlier") + F.col("_before") + F.col("_r") % block).alias("position"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
