@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, shard and slot of every row."""
-    return sharding.shard_documents(docs)
+    """doc_id, size, shard and slot of every row; slots of a shard follow the mixed order in which ``docs`` is stored."""
+    return sharding.shard_documents(docs, stored_order=True)
 
 
 STAGES = [

@@ -508,3 +508,28 @@ def test_pipeline_stages_on_a_small_corpus(spark):
         assert now <= n and (name != "mixing" or now == n)
         n = now
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == n
+
+
+def test_pipeline_shards_keep_the_mixed_order(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i // 2 if i % 10 == 0 else i} " * (1 + i % 7), ["a", "a", "a", "b", None][i % 5]) for i in range(1500)]
+    docs_of(spark, rows, 7).write.parquet(f"{tmp_path}/documents.parquet")
+    position = {r["doc_id"]: r["position"] for r in mixing.mix(corpus_pipeline.table(spark, str(tmp_path), "documents")).collect()}
+
+    def slots(names):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in stages if s[0] in names])
+        by_shard = {}
+        for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+            by_shard.setdefault(r["shard"], {})[r["slot"]] = r["doc_id"]
+        assert sum(map(len, by_shard.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+        return {k: [s[i] for i in range(len(s))] for k, s in by_shard.items()}
+
+    stages = corpus_pipeline.STAGES
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        mixed, plain = slots(["mixing", "sharding"]), slots(["sharding"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(s == sorted(s, key=position.get) for s in mixed.values())
+    assert {k: set(s) for k, s in mixed.items()} == {k: set(s) for k, s in plain.items()} and mixed != plain

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.plans.lineage import shared_dir
@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row that each row of ``docs``, as read from Parquet, is stored at; files sort in the order of writing."""
+    path = F.col("_metadata.file_path")
+    number = F.regexp_extract(path, r".*part-(\d+)[^/]*$", 1)
+    return F.struct(F.when(number != "", number.cast("long")).alias("number"), path.alias("path")), F.col("_metadata.row_index")
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
@@ -46,14 +53,15 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int | None = None, chunk: Column | None = None) -> DataFrame:
     """Add ``out``: a gapless rank from 0 within ``keys``, without putting a key's rows in one task.
 
     Rows of a key are dealt over hash buckets of ``order``; the rank runs over (bucket, order). Bucket
     counts are pre-aggregated, so a key that holds a third of all rows is ranked by many tasks.
+    ``chunk`` stands for the bucket then, for a rank in true order: rows of a smaller chunk come first.
     """
     buckets = buckets or max(64, n_parts(df.sparkSession))
-    df = df.withColumn("_rb", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_rb", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if chunk is None else chunk)
     counts = df.groupBy(*keys, "_rb").agg(F.count(F.lit(1)).alias("_rc"))
     before = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_rb").alias("_ob"), F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_ro"))

@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, ranked, stored_place
 
 #: A group with more than rows / HOT_SHARE rows is joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 512
+#: Rows of a file that one task numbers in stored order.
+CHUNK = 65_536
 
 
 def lpt(hist: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
@@ -56,16 +58,18 @@ def lpt(hist: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int],
     return plan
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, stored_order: bool = False) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Equal texts stay together and null equals empty (both have size 1). Groups go to the least
     loaded of ``shards`` shards, largest first, so sizes are as near to equal as whole groups allow.
-    ``slot`` numbers a shard's rows from 0; repeated and null doc_ids get slots of their own.
+    ``slot`` numbers a shard's rows from 0; repeated and null doc_ids get slots of their own. With
+    ``stored_order``, ``docs`` is as read from Parquet and slots follow the order of its files and rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = cut(docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
+    stored = [c.alias(name) for c, name in zip(stored_place(docs), ["_file", "_row"])] if stored_order else []
+    base = cut(docs.select(*stored, "doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
     groups = cut(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).select("digest", "n", (F.col("n") * F.col("size")).alias("group_bytes")))
     plan = lpt([(r[0], r[1]) for r in groups.groupBy("group_bytes").count().collect()], shards)
     deal = spark.createDataFrame(pd.DataFrame(plan, columns=["deal_bytes", "own", "ends"]) if plan else [], "deal_bytes long, own array<int>, ends array<long>")
@@ -75,5 +79,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     hot = place.where(F.col("n") * HOT_SHARE > rows).select("digest", "shard")
     cold = place.where(F.col("n") * HOT_SHARE <= rows).select("digest", "shard")
     placed = base.join(F.broadcast(hot), "digest").unionByName(base.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest"))
-    out = ranked(placed, ["shard"], ["doc_id", "digest"], "slot")
+    if stored_order:
+        out = ranked(placed, ["shard"], ["_row"], "slot", chunk=F.struct("_file", F.expr(f"_row div {CHUNK}").alias("at")))
+    else:
+        out = ranked(placed, ["shard"], ["doc_id", "digest"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
