@@ -344,7 +344,8 @@ def test_join_against_brute_force(spark, k, percent):
     assert len({c for _, c in want.values()}) < len(want) - 3
 
 
-def test_join_of_many_near_copies_uses_trees(spark, monkeypatch):
+@pytest.mark.parametrize("branch", [400, 2500, 1 << 20])
+def test_join_of_many_near_copies_uses_trees(spark, monkeypatch, branch):
     rnd = random.Random(8)
     words = [f"u{i}" for i in range(5000)]
     rows, base = [], [rnd.choice(words) for _ in range(60)]
@@ -354,7 +355,7 @@ def test_join_of_many_near_copies_uses_trees(spark, monkeypatch):
             t[rnd.randrange(60)] = rnd.choice(words)
         rows.append((i, " ".join(t), "s"))
     monkeypatch.setattr(ngram_join, "LEAF", 4)
-    monkeypatch.setattr(ngram_join, "BRANCH", 50)
+    monkeypatch.setattr(ngram_join, "BRANCH", branch)
     got = ngram_join.linked_components(docs_of(spark, rows), 3, 85).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
 
@@ -381,6 +382,39 @@ def test_near_copies_and_empty_input(spark):
     assert ngram_join.linked_components(docs.where("false")).count() == 0
 
 
+def test_join_of_repeated_rows_and_null_ids(spark):
+    """Copies are one node; a doc_id with several texts is one document; null ids are documents of their own."""
+    words = [f"v{i}" for i in range(400)]
+    rnd = random.Random(12)
+    a, b, c = (" ".join(rnd.choice(words) for _ in range(40)) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " zz"
+    rows = [(1, a, "s")] * 50 + [(i, b, "s") for i in range(10, 60)] + [(None, a, "s")] * 20 + [(None, near(b), "s")] * 3
+    rows += [(70, near(a), "s"), (70, near(c), "s"), (70, "other words here", "s"), (80, c, "s"), (90, "other  words HERE", "s"), (None, "alone", "s"), (None, "apart", "s")]
+    made = []
+    real = ngram_join._links
+    ngram_join._links = lambda pairs, nodes, *rest: (made.append(nodes.count()), real(pairs, nodes, *rest))[1]
+    try:
+        got = ngram_join.linked_components(docs_of(spark, rows), 3, 80).collect()
+    finally:
+        ngram_join._links = real
+    assert made[0] == 9 and len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert all(by[i] == {1} for i in (1, 70, 80, 90)) and all(by[i] == {10} for i in range(10, 60)) and by[None] == {1, 10, None}
+    kept = [r[0] for r in ngram_join.without_near_copies(docs_of(spark, rows), 3, 80).select("doc_id").collect()]
+    assert sorted(x for x in kept if x) == [1] * 50 + [10] and kept.count(None) == 25
+
+
+def test_links_of_a_hot_root_are_split(spark, monkeypatch):
+    """A component with most of the links: adaptive execution may split the root's rows, and the result is right."""
+    monkeypatch.setattr(components, "LINKS_AT_ONCE", 1000)
+    n = 20_000
+    links = spark.range(1, n).selectExpr("id AS a", "0L AS b").union(spark.createDataFrame([(n + 2, n + 1)], "a long, b long")).repartition(8)
+    got = components.components(links)
+    assert got.where("root = 0").count() == n and got.where(f"root = {n + 1}").count() == 2
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (2, 1), (20, 9)] + [(100, i) for i in range(101, 140)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}

@@ -10,26 +10,56 @@ from pyspark.sql import functions as F
 
 from vertexloom.plans.lineage import shared_dir
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+BATCH_BYTES = str(4 << 20)
+#: Tables of a few numbers a row are broadcast up to so many rows (some 10 MB).
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python of a few MB, whatever the texts' lengths, where the session doesn't say otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over batches that are bounded by bytes."""
+    _bound_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     The files outlive any executor, so a lost one costs a read and no recomputation. They are
-    removed when the session's driver ends.
+    removed by ``drop``, or when the session's driver ends.
     """
     spark = df.sparkSession
+    _bound_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Remove the files of frames made by ``cut`` that nothing will read any more."""
+    for df in cuts:
+        path = df._cut_path
+        _remove(_written.pop(path), path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow rows, made by ``cut``), to be broadcast if it has at most ``rows`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def stored_place(docs: DataFrame) -> tuple[Column, Column]:
@@ -39,12 +69,15 @@ def stored_place(docs: DataFrame) -> tuple[Column, Column]:
     return F.struct(F.when(number != "", number.cast("long")).alias("number"), path.alias("path")), F.col("_metadata.row_index")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone already
             return
 

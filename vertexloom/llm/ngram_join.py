@@ -8,33 +8,37 @@ Exact: no pair of texts at the threshold is lost.
    the count of the shingle's rarest word, from a table of word counts of all texts, then by hash, so
    that passages of many texts route nothing while there are rarer ones.
 2. The nodes of a routing shingle are the children of one branch of the root. A few random leaders of
-   each branch are verified against the others first, which joins most groups of near copies.
-3. Below a branch stands a signature tree: its nodes hold the OR of the bitmaps below them, their
-   size range, and their component if they have only one. Two trees (or one with itself) are
-   descended together; a pair of tree nodes is dropped if the sizes can't match, if all lies in one
-   component already, or if the OR bitmaps share too few bits for the overlap that a link needs.
-   What is left at the leaves is verified by exact intersection.
-
-Branches with more than BRANCH nodes are split by size into blocks, and pairs of blocks whose sizes
-can match go to tasks of their own.
+   each branch and size band are verified against the band's others first, which joins most groups of
+   near copies. Branches of two nodes are a pair to verify and need no tree.
+3. What is left open, a branch with nodes of several components, gets a signature tree: its nodes hold
+   the OR of the bitmaps below them, their size range, and their component if they have only one. Two
+   trees (or one with itself) are descended together; a pair of tree nodes is dropped if the sizes
+   can't match, if all lies in one component already, or if the OR bitmaps share too few bits for the
+   overlap that a link needs. What is left at the leaves is verified by exact intersection.
+
+Everything about branches that needs no bitmaps is an aggregation or a join, so a routing shingle of a
+third of all nodes is pre-aggregated and split like any key. A branch with more than BRANCH shingles is
+dealt into blocks by component and size band; pairs of blocks that can hold a link go to tasks of
+their own, and a component is never paired with itself. Tasks hold one block pair at a time.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut, drop, map_arrow, n_parts, small
 from .components import components
-from .textvec import SPACES, mix, pieces, shingles, words
+from .textvec import SPACES, mix, pieces, shingle_sets, shingles, words
 
-#: Cells of the word count table, a fixed size at any scale; tables merged by one task; leaders of a group; nodes of a block; fan-out of a tree.
-CELLS, FAN_IN, LEADERS, BRANCH, FAN_OUT = 1 << 20, 16, 16, 2048, 8
+#: Cells of the word count table, a fixed size at any scale; tables merged by one task; leaders of a group; shingles of a block (4 bytes of bitmap each at most); fan-out of a tree.
+CELLS, FAN_IN, LEADERS, BRANCH, FAN_OUT = 1 << 20, 16, 16, 1 << 20, 8
 #: Blocks of so many nodes are single leaves; the pairs of many leaves are tested together.
 LEAF = 32
 #: Bits of a bitmap for each shingle, at least: with 16, about one difference in twenty is hidden by a shared bit. They are kept deflated.
@@ -67,7 +71,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_rarity(docs: DataFrame) -> np.ndarray:
     """For each cell of word hashes, the logarithm of how often its words occur in all texts."""
-    made = docs.select("text").mapInArrow(_count_words, "counts binary")
+    made = map_arrow(docs.select("text"), _count_words, "counts binary")
     parts = docs.select("text").rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // FAN_IN)
@@ -88,12 +92,12 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def _signatures(k: int, percent: int, rarity, ends: np.ndarray):
-    names = ["doc_id", "n", "d1", "d2", "bitmap", "route"]
+    names = ["doc_id", "hash", "n", "d1", "d2", "bitmap", "route"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rarity.value
         for b in batches:
-            for row, data, at in pieces(b.column(1)):
+            for row, data, at in pieces(b.column(2)):
                 h, wat = words(data, at, ends)
                 s, sat = shingles(h, wat, k, True)
                 rare = np.concatenate([table[(h & _MASK).astype(np.int64)], np.full(k, 255, np.uint8)])
@@ -113,102 +117,77 @@ def _signatures(k: int, percent: int, rarity, ends: np.ndarray):
                 n, d1, d2, bitmap, route = zip(*rows)
                 at_route = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in route])]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.int64), *[r for r in route if r is not None]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(rows)), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bitmap, pa.binary()), pa.ListArray.from_arrays(at_route, pa.array(flat))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(rows)), b.column(1).slice(row, len(rows)), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bitmap, pa.binary()), pa.ListArray.from_arrays(at_route, pa.array(flat))], names)
 
     return run
 
 
 # ---- branches
 
-_KINDS = "kind int, x long, y long, n long"
 
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Can sets of these sizes link?"""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-def _groups(key: np.ndarray) -> list[tuple[int, int]]:
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
-    return list(zip(start.tolist(), np.append(start[1:], len(key)).tolist()))
 
+def _band(n: Column, percent: int) -> Column:
+    """Size bands, so wide that linked sets lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else n
 
-def _all(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
-    held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)] for b in batches]
-    return [np.concatenate(c) for c in zip(*held)] if held else [np.empty(0, np.int64)] * columns
 
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-def _branches(percent: int):
-    """From routed rows (token, node, n): the branches of two and more nodes (kind 0), and pairs with their leaders (kind 1)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, n = _all(batches, 3)
-        order = np.lexsort((node, n, token))
-        token, node, n = token[order], node[order], n[order]
-        same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-        keep = (same[1:] | same[:-1])[: len(token)]
-        token, node, n = token[keep], node[keep], n[keep]
-        pairs, groups = [], _groups(token)
-        two = np.array([lo for lo, hi in groups if hi - lo == 2], np.int64)
-        two = two[(100 * n[two] >= percent * n[two + 1]) & (node[two] != node[two + 1])]  # rows are sorted by n
-        pairs.append(np.stack([np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])]))
-        for lo, hi in groups:
-            if hi - lo == 2:
-                continue
-            left = np.arange(lo, hi)
-            draw = mix(node[lo:hi].astype(_U) ^ mix(np.array([int(token[lo]) % LEADERS], _U)))
-            while len(left) > 1:
-                lead = left[np.argmin(draw[left - lo])]
-                near = (100 * np.minimum(n[left], n[lead]) >= percent * np.maximum(n[left], n[lead])) & (node[left] != node[lead])
-                if near.any():
-                    other = node[left[near]]
-                    pairs.append(np.stack([np.minimum(other, node[lead]), np.maximum(other, node[lead])]))
-                left = left[~near & (left != lead)]
-        for i in range(0, len(token), 50_000):
-            t = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(token[t]), np.int32)), pa.array(token[t]), pa.array(node[t]), pa.array(n[t])], ["kind", "x", "y", "n"])
-        if pairs:
-            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], ["kind", "x", "y", "n"])
+def _branches(routed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of routed rows (token, node, n): the rows of branches of three and more nodes, and pairs (a, b) to verify first."""
+    end = F.struct("n", "node")
+    shared = cut(routed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(end).alias("lo"), F.max(end).alias("hi")).where("m >= 2"))
+    two = shared.where("m = 2").where(_fits(F.col("lo.n"), F.col("hi.n"), percent)).select(*_pairs(F.col("lo.node"), F.col("hi.node")))
+    branch = cut(routed.join(shared.where("m > 2").select("token"), "token").withColumn("band", _band(F.col("n"), percent)))
+    draw = F.struct(F.xxhash64("node", F.pmod("token", F.lit(LEADERS))), "node")
+    lead = cut(branch.groupBy("token", "band").agg(F.min_by(F.struct("node", "n"), draw).alias("lead")))
+    led = branch.join(lead, ["token", "band"]).where((F.col("node") != F.col("lead.node")) & _fits(F.col("n"), F.col("lead.n"), percent)).select(*_pairs(F.col("node"), F.col("lead.node")))
+    above = lead.select("token", (F.col("band") - 1).alias("band"), F.col("lead").alias("up"))
+    ladder = lead.join(above, ["token", "band"]).where(_fits(F.col("lead.n"), F.col("up.n"), percent)).select(*_pairs(F.col("lead.node"), F.col("up.node")))
+    pairs = cut(two.union(led).union(ladder).distinct())
+    drop(shared, lead)
+    return branch, pairs
 
-    return run
 
+def _blocks(branch: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The branches with more than one component as block pairs: (block, side, node, n, label); side 0: a block with itself.
 
-def _open_branches(percent: int):
-    """Branches with more than one component and sizes that can match, as blocks: (block, side, node, n, label).
+    Second, the files that this reads.
 
-    A pair that is a branch of its own has been verified already. Near copies share many branches with
-    the same nodes; a block is named by its nodes, so they become one.
+    Near copies share many branches with the same nodes; of such branches one is enough.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, n, label = _all(batches, 4)
-        order = np.lexsort((node, n, token))
-        token, node, n, label = token[order], node[order], n[order], label[order]
-        out, seen = [], set()
-        for lo, hi in _groups(token):
-            if hi - lo < 3 or (label[lo:hi] == label[lo]).all():
-                continue
-            if hi - lo <= LEAF:
-                own, own_n, own_label = node[lo:hi], n[lo:hi], label[lo:hi]
-                fits = (percent * np.maximum.outer(own_n, own_n) <= 100 * np.minimum.outer(own_n, own_n)) & (own_label[:, None] != own_label)
-                keep = fits.any(1)
-                blocks = [(own[keep], own_n[keep], own_label[keep])] if keep.any() else []
-            else:
-                blocks = [(node[i:j], n[i:j], label[i:j]) for i in range(lo, hi, BRANCH) for j in [min(i + BRANCH, hi)]]
-            names = np.array([mix(b[0].astype(_U)).sum(dtype=_U) for b in blocks], _U)
-            for i, b in enumerate(blocks):
-                for j in range(i, len(blocks)):
-                    c = blocks[j]
-                    if percent * c[1][0] > 100 * b[1][-1]:
-                        break
-                    name = int(mix(names[i : i + 1] * _U(3) + names[j : j + 1]).view(np.int64)[0])
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    for side, part in ((0, b),) if i == j else ((1, b), (2, c)):
-                        out.append((np.full(len(part[0]), name), np.full(len(part[0]), side, np.int32), *part))
-        if out:
-            cols = [np.concatenate(c) for c in zip(*out)]
-            for i in range(0, len(cols[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["block", "side", "node", "n", "label"])
-
-    return run
+    rows = cut(branch.join(label, "node", "left").select("token", "node", "n", "band", F.coalesce("root", "node").alias("label")))
+    tokens = rows.groupBy("token").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    tokens = cut(tokens.where("low <> high").groupBy("m", "h1", "h2").agg(F.min("token").alias("token"), F.first("size").alias("size")).select("token", "size"))
+    rows, files = rows.join(tokens, "token"), [rows, tokens]
+    whole = rows.where(F.col("size") <= BRANCH).select(F.col("token").alias("block"), F.lit(0).alias("side"), "node", "n", "label")
+    if tokens.where(F.col("size") > BRANCH).isEmpty():
+        return whole, files
+    # larger ones by component and band; components of less than a block share the blocks of their band
+    many = rows.where(F.col("size") > BRANCH)
+    cells = many.groupBy("token", "band", "label").agg(F.sum("n").alias("cell"))
+    cells = cells.withColumn("of", F.when(F.col("cell") * 2 > BRANCH, F.col("label")))
+    number = F.ceil(F.sum("cell") / BRANCH)
+    groups = cells.groupBy("token", "band", "of").agg(number.alias("k"))
+    at = cells.alias("c").join(groups.alias("g"), (F.col("c.token") == F.col("g.token")) & (F.col("c.band") == F.col("g.band")) & F.col("c.of").eqNullSafe(F.col("g.of")))
+    at = at.select(F.col("c.token").alias("token"), F.col("c.band").alias("band"), F.col("c.label").alias("label"), F.col("c.of").alias("of"), "k")
+    dealt = cut(many.join(at, ["token", "band", "label"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("k"))).select("token", "node", "n", "label", "band", "of", "part"))
+    place = cut(dealt.select("token", "band", "of", "part").distinct())
+    key = F.struct("band", "of", "part")
+    x, y = place.select("token", key.alias("x")), place.select(F.col("token").alias("_t"), key.alias("y"))
+    near = (F.col("y.band") - F.col("x.band")).isin(0, 1) if percent < 100 else F.col("x.band") == F.col("y.band")
+    both = x.join(y, (F.col("token") == F.col("_t")) & (F.col("x") <= F.col("y")) & near & (F.col("x.of").isNull() | F.col("y.of").isNull() | (F.col("x.of") != F.col("y.of"))))
+    both = cut(both.select("token", "x", "y", F.xxhash64("token", "x", "y").alias("block")))
+    sides = both.select("token", F.col("x").alias("at"), "block", F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side"))
+    sides = sides.union(both.where("x <> y").select("token", F.col("y").alias("at"), "block", F.lit(2).alias("side")))
+    cold = dealt.withColumn("at", key).join(sides, ["token", "at"]).select("block", "side", "node", "n", "label")
+    return whole.union(cold), [*files, dealt, place, both]
 
 
 # ---- signature trees
@@ -289,8 +268,10 @@ def block_pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray, side: np
     built: dict[tuple[int, int, int], SignatureTree] = {}
 
     def tree(key: tuple[int, int], w: int) -> SignatureTree:
-        at = trees[key]
-        return built.setdefault((*key, w), None) or built.__setitem__((*key, w), SignatureTree(_fold(raw[key], w), n[at], label[at])) or built[(*key, w)]
+        if (*key, w) not in built:
+            at = trees[key]
+            built[(*key, w)] = SignatureTree(_fold(raw[key], w), n[at], label[at])
+        return built[(*key, w)]
 
     for (w, d), at in trees.items():
         for (v, e), at2 in trees.items():
@@ -332,24 +313,48 @@ def _moved(by: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[
         yield by + x, by + y
 
 
+def _groups(key: np.ndarray) -> list[tuple[int, int]]:
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+    return list(zip(start.tolist(), np.append(start[1:], len(key)).tolist()))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by block (column 0, shingles in column 3): tables of whole blocks, of some BRANCH shingles if blocks are smaller."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != key[0] and size >= BRANCH:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        start = np.flatnonzero(key[1:] != key[:-1]) + 1
+        weight, lo = np.concatenate([[0], np.cumsum(b.column(3).to_numpy())]), 0
+        for at in start.tolist():
+            if size + weight[at] - weight[lo] >= BRANCH:
+                yield pa.Table.from_batches([*held, b.slice(lo, at - lo)])
+                held, size, lo = [], 0, at
+        held.append(b.slice(lo))
+        size += weight[-1] - weight[lo]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _tree_pairs(percent: int):
+    """Rows (block, side, node, n, label, bitmap) sorted by block: pairs (a, b) of nodes that may link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), pa.schema([("block", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("bitmap", pa.binary())]))
-        order = np.lexsort((held["node"].to_numpy(), held["side"].to_numpy(), held["block"].to_numpy()))
-        block, side, node, n, label = (held[c].to_numpy()[order] for c in ("block", "side", "node", "n", "label"))
-        # the same block may come from several tasks
-        once = np.ones(len(order), bool)
-        once[1:] = (block[1:] != block[:-1]) | (side[1:] != side[:-1]) | (node[1:] != node[:-1])
-        order, block, side, node, n, label = order[once], block[once], side[once], node[once], n[once], label[once]
-        bitmap = [zlib.decompress(x.as_buffer()) for x in held["bitmap"].take(pa.array(order))]
-        groups = _groups(block)
-        found = [leaf_pairs(bitmap, n, label, [g for g in groups if g[1] - g[0] <= LEAF], percent)]
-        found += [_moved(lo, block_pairs(bitmap[lo:hi], n[lo:hi], label[lo:hi], side[lo:hi], percent)) for lo, hi in groups if hi - lo > LEAF]
-        for pairs in found:
-            for x, y in pairs:
-                if len(x):
-                    a, b = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for held in _whole_blocks(batches):
+            block, side, node, n, label = (held[c].to_numpy() for c in ("block", "side", "node", "n", "label"))
+            bitmap = [zlib.decompress(x.as_buffer()) for c in held["bitmap"].chunks for x in c]
+            groups = _groups(block)
+            found = [leaf_pairs(bitmap, n, label, [g for g in groups if g[1] - g[0] <= LEAF and side[g[0]] == 0], percent)]
+            found += [_moved(lo, block_pairs(bitmap[lo:hi], n[lo:hi], label[lo:hi], side[lo:hi], percent)) for lo, hi in groups if hi - lo > LEAF or side[lo]]
+            for pairs in found:
+                for x, y in pairs:
+                    if len(x):
+                        a, b = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -375,15 +380,13 @@ def _by_bitmap(percent: int):
 
 def _sets(k: int, ends: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .textvec import shingle_sets
-
         for b in batches:
             nodes = b.column(0)
             held, first, size = [], 0, 0
             for row, s in shingle_sets(b.column(1), k, ends, True):
                 held.append(s.tobytes())
                 size += len(held[-1])
-                if size > 1 << 24 or row == len(nodes) - 1:
+                if size > 1 << 22 or row == len(nodes) - 1:
                     yield pa.RecordBatch.from_arrays([nodes.slice(first, len(held)), pa.array(held, pa.binary())], ["node", "shingles"])
                     first, held, size = row + 1, [], 0
 
@@ -406,16 +409,21 @@ def _verify(percent: int):
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, ends: np.ndarray) -> DataFrame:
-    """Of candidate pairs (a, b) of nodes, those that are links."""
+    """Of candidate pairs (a, b) of nodes, those that are links: by bitmaps, then by the sets of the texts behind what is left."""
+    either = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(either(pairs))
+    marks = nodes.select("node", "n", "bitmap").join(small(wanted), "node")
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
-    likely = cut(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(_by_bitmap(percent), "a long, b long"))
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-    # bitmaps and sets of a repeated doc_id belong to its rows' own texts: the set's digest says which
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
-    sets = cut(texts.mapInArrow(_sets(k, ends), "node long, shingles binary"))
+        pairs = pairs.join(marks.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
+    likely = cut(map_arrow(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), _by_bitmap(percent), "a long, b long"))
+    keys = cut(nodes.select("node", F.col("key.doc_id").alias("_id"), F.col("key.hash").alias("_hash")).join(either(likely), "node"))
+    # one text for each node: a row of the node's doc_id with the same text
+    texts = docs.select("doc_id", "text").join(small(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).groupBy("node").agg(F.any_value("text").alias("text"))
+    sets = cut(map_arrow(texts, _sets(k, ends), "node long, shingles binary"))
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_q")), "b")
-    return both.select("a", "b", "_p", "_q").mapInArrow(_verify(percent), "a long, b long")
+    links = cut(map_arrow(both.select("a", "b", "_p", "_q"), _verify(percent), "a long, b long"))
+    drop(wanted, likely, keys, sets)
+    return links
 
 
 def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.ndarray = SPACES) -> DataFrame:
@@ -424,40 +432,45 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.n
     Words are runs of other than ASCII white space (or what ``ends`` says), A-Z lower-cased; a text of
     fewer than ``k`` words is one shingle. Two rows link when 100 * shared >= ``percent`` * joint
     shingles. Null and empty texts have no shingles and no links. Rows that repeat a doc_id count as one
-    document with the links of all its texts; null doc_ids are reached through links only, and the
-    component of rows that reach no doc_id is null. Empty input: no rows.
+    document with the links of all its texts; rows with a null doc_id are documents of their own that
+    are reached through links only, and the component of rows that reach no doc_id is null. Empty
+    input: no rows. Sets are equal when their 128-bit digests are.
     """
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(word_rarity(docs))
     id_type = dict(docs.dtypes)["doc_id"]
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(k, percent, rarity, ends), f"doc_id {id_type}, n long, d1 long, d2 long, bitmap binary, route array<long>"))
-    parts = n_parts(spark)
-    distinct = cut(signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    own = distinct.withColumnsRenamed({"n": "_n", "d1": "_d1", "d2": "_d2"})
-    nodes = cut(signed.join(own, signed["doc_id"].eqNullSafe(own["rep"]) & (signed["d1"] == own["_d1"]) & (signed["d2"] == own["_d2"]) & (signed["n"] == own["_n"])).select("node", "n", "rep", "bitmap", "route"))
-    routed = nodes.select(F.explode("route").alias("token"), "node", "n")
-    found = cut(routed.repartition(parts, "token").mapInArrow(_branches(percent), _KINDS))
-    tested = cut(found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    links = cut(_links(tested, nodes, docs, k, percent, ends))
-    label = components(links)
-    branch = found.where("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("node"), "n")
-    labelled = branch.join(label, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("label"))
-    blocks = labelled.repartition(parts, "token").mapInArrow(_open_branches(percent), "block long, side int, node long, n long, label long")
+    signed = cut(map_arrow(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), _signatures(k, percent, rarity, ends), f"doc_id {id_type}, hash long, n long, d1 long, d2 long, bitmap binary, route array<long>"))
+    digest = ["n", "d1", "d2"]
+    key = F.struct("doc_id", "hash")
+    first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), key)), F.min(key))
+    nodes = signed.where("n > 0").groupBy(*digest).agg(first.alias("key"), F.any_value("bitmap").alias("bitmap"), F.any_value("route").alias("route"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    branch, pairs = _branches(nodes.select(F.explode("route").alias("token"), "node", "n"), percent)
+    links = _links(pairs, nodes, docs, k, percent, ends)
+    blocks, files = _blocks(branch, components(links), percent)
     leaves = blocks.join(nodes.select("node", "bitmap"), "node").select("block", "side", "node", "n", "label", "bitmap")
-    more = leaves.repartition(parts, "block").mapInArrow(_tree_pairs(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(_links(cut(more), nodes, docs, k, percent, ends))
+    found = map_arrow(leaves.repartition(n_parts(spark), "block").sortWithinPartitions("block", "side", "node"), _tree_pairs(percent), "a long, b long")
+    more = cut(found.distinct().join(pairs, ["a", "b"], "left_anti"))
+    drop(branch, *files)
+    others = more if more.isEmpty() else _links(more, nodes, docs, k, percent, ends)
+    names = nodes.select(*[F.col(c).alias(f"_{c}") for c in digest], "node", F.col("key.doc_id").alias("rep"))
+    rows = signed.select("doc_id", *digest)
+    rows = cut(rows.join(names, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left").select("doc_id", "n", "node", "rep"))
     # rows that repeat a doc_id with other texts are one document
-    same = distinct.groupBy("rep").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    label = cut(components(links.union(same)))
-    named = distinct.join(label, "node", "left").select("n", "d1", "d2", "rep", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "root").select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component_id")
-    rows = signed.select("doc_id", "n", "d1", "d2")
-    out = rows.join(named, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    same = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    label = components(links.union(others).union(same))
+    drop(signed, pairs, links, more)
+    placed = label.join(names.select("node", "rep"), "node")
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    placed = cut(placed.join(smallest, "root").select("node", "component_id"))
+    drop(nodes)
+    out = rows.join(placed, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """All columns of one document for each component: the one with the smallest doc_id. Rows with a null doc_id stay."""
     gone = cut(linked_components(docs, k, percent, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -2,7 +2,8 @@
 
 Every word gets a 64-bit hash (a polynomial over its bytes, mixed with its length), every run of k
 words a hash of its words' hashes. Texts are taken in pieces of about PIECE bytes, whole texts each,
-so the working memory is bounded by the longest text.
+and a longer text is hashed block by block: the working memory is some 60 bytes for each byte of a
+piece, and beyond that 20 to 30 for each word of the longest text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -30,15 +31,18 @@ _powers = (np.ones(1, _U), np.ones(1, _U))
 
 
 def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; kept up to twice a piece."""
     global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(n, base, _U)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, 2 * PIECE + 2), base, _U)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= 2 * PIECE + 2:
         _powers = made[0], made[1]
-    return _powers
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,22 +57,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows, about PIECE bytes at a time; null is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    """(first row, bytes, offsets) of consecutive rows, about PIECE bytes at a time; null is empty. Bytes aren't copied."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1] or bytes(8), kind)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
-        yield i, data[at[i] : at[j]], at[i : j + 1] - at[i]
+        j = max(i + 1, int(np.searchsorted(at, int(at[i]) + PIECE, "right")) - 1)
+        yield i, data[at[i] : at[j]], at[i : j + 1].astype(np.int64) - int(at[i])
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased) and the offsets of each text's words among them."""
+def _words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    if not n:
-        return np.empty(0, _U), np.zeros(len(offsets), np.int64)
     inside = ~ends[data]
     before = np.empty(n, bool)
     before[0] = False
@@ -89,6 +92,26 @@ def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACES) -> t
     return h, np.searchsorted(start, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased) and the offsets of each text's words among them."""
+    n = len(data)
+    if not n:
+        return np.empty(0, _U), np.zeros(len(offsets), np.int64)
+    if n <= 2 * PIECE or len(offsets) != 2:
+        return _words(data, offsets, ends)
+    # one long text: blocks that end where a word ends
+    out, lo = [], 0
+    while lo < n:
+        hi = min(lo + PIECE, n)
+        while hi < n and not ends[data[hi]]:
+            step = np.flatnonzero(ends[data[hi : hi + 4096]])
+            hi = hi + int(step[0]) if len(step) else min(hi + 4096, n)
+        out.append(_words(data[lo:hi], np.array([0, hi - lo]), ends)[0])
+        lo = hi
+    h = np.concatenate(out)
+    return h, np.array([0, len(h)])
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words in each text, and their offsets. ``short``: a text with fewer words is one run."""
     n = len(hashes)
