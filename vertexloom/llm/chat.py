@@ -114,10 +114,12 @@ def format_conversations(turns: DataFrame, renderer: Renderer = render, learn_fr
     """One row per conversation: conv_id, formatted, the text span of each turn, which spans bear loss.
 
     Rows are ordered by turn (nulls first), equal turns by role and text; repeated rows are turns of
-    their own. Null role or text: empty. Null conv_id: one conversation. Empty input: no rows.
+    their own. Null role or text: empty. A row with a null conv_id belongs to no other row: it is a
+    conversation of one turn, with a null conv_id. Empty input: no rows.
     """
     rows = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(rows)).alias("_t")).select("conv_id", F.col("_t.role").alias("roles"), F.col("_t.text").alias("texts"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+    by = turns.groupBy("conv_id", alone).agg(F.array_sort(F.collect_list(rows)).alias("_t")).select("conv_id", F.col("_t.role").alias("roles"), F.col("_t.text").alias("texts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
