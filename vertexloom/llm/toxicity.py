@@ -252,12 +252,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Learn from labelled rows outside the held-out fifth, or the ``rows`` of them with the smallest hash of doc_id.
 
-    Near copies count once. With one label only, or no rows, the prior list and a prior model stay.
+    Near copies count once, by their smallest doc_id. Rows enter the fit in one order, so the model doesn't
+    depend on how they are stored. With one label only, or no rows, the prior list and a prior model stay.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    texts = cut(texts.withColumn("key", F.pandas_udf(_near_key, "string")("text")).dropDuplicates(["key", "toxic"]).select("text", "toxic"))
+    # of near copies the smallest doc_id counts, and of its repeated rows the smallest text: no choice is left to the order of rows
+    first = F.min(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("first")
+    texts = cut(texts.withColumn("key", F.pandas_udf(_near_key, "string")("text")).groupBy("key", "toxic").agg(first).select("first.text", "toxic"))
     stems = learn_stems(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
         for pdf in batches:
             yield pd.DataFrame({"x": [grammar.features(t) for t in pdf["text"]], "y": pdf["toxic"].astype("float64")})
 
-    got = texts.mapInPandas(run, "x array<double>, y double").collect()
+    got = sorted((tuple(r[0]), r[1]) for r in texts.mapInPandas(run, "x array<double>, y double").collect())
     y = np.array([r[1] for r in got])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(stems, [4.0, *[0.0] * (FEATURES - 1), -3.0])
