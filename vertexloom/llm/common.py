@@ -82,6 +82,14 @@ def _remove_written() -> None:
             return
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until ``df`` has no such column (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

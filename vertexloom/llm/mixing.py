@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts, ranked
+from .common import cut, free_name, n_parts, ranked, small
 
 #: Slots of a cycle, which one task computes (at least ten slots a source, on average).
 CYCLE = 1000
@@ -72,9 +72,10 @@ def pfair_slots(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """
     parts = n_parts(weights.sparkSession)
     whole = cut(_whole_weights(weights))
+    length = max(cycle, 10 * whole.count())
     due = F.expr(f"(blocks * {UNIT} + a - 1) div a")
     one = whole.agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("srcs"), F.least(F.max(due), HORIZON * F.sum("blocks")).alias("_slots"))
-    one = one.where("_slots > 0").withColumn("length", F.greatest(F.lit(cycle), 10 * F.size("srcs")).cast("long"))
+    one = one.where("_slots > 0").withColumn("length", F.lit(length).cast("long"))
     starts = one.select("srcs", "length", F.explode(F.expr("sequence(0L, (_slots + length - 1) div length)")).alias("c")).repartition(parts, "c")
     # the state at each cycle's start, from a cycle before
     states = starts.withColumn("since", F.greatest(F.lit(0).cast("long"), (F.col("c") - 1) * F.col("length")))
@@ -84,22 +85,25 @@ def pfair_slots(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("since", "i").orderBy("at")) - 1
     slots = picks.select(F.col("srcs")[F.col("i")]["src"].alias("src"), (F.col("k")[F.col("i")] + place).alias("block"), (F.col("since") + F.col("at")).alias("slot"))
     blocks = whole.where("blocks > 0").select("src", "n", "a", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
-    out = blocks.join(slots, ["src", "block"], "left").crossJoin(F.broadcast(one.select("length")))
+    out = blocks.join(slots, ["src", "block"], "left")
     out = out.withColumn("slot", F.coalesce("slot", F.expr(f"((block + 1) * {UNIT} + a - 1) div a - 1")))
-    return out.select("src", "block", "slot", F.expr("slot div length").alias("cycle"), "n")
+    return out.select("src", "block", "slot", F.expr(f"slot div {length}L").alias("cycle"), "n")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, cycle: int = CYCLE, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, source, block, slot, position (gapless from 0 over all rows).
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, cycle: int = CYCLE, temperature: float = TEMPERATURE, seed: int = SEED, key: str | None = None) -> DataFrame:
+    """Per row: doc_id, source, block, slot, position (gapless from 0 over all rows), and ``key`` if one is named.
 
     ``weights`` gives each source's target; sources without one get weight by rows ** temperature of
     what is left of 1 (all of it without weights). Null sources form one source. While no source has
     run out, every prefix of slots holds each source within one block of its share; sources that have
     run out leave their slots and the rest keep their proportions. No row is dropped or repeated.
+    Repeated and null doc_ids are rows of their own; they follow each other in the stored order, or in that of ``key``, a number
+    that differs between rows. Other columns, texts among them, are not read.
     """
     src = F.coalesce(F.col("source"), F.lit(""))
-    base = docs.select("doc_id", "source", src.alias("src"), F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
-    base = cut(ranked(base, ["src"], ["_h", "doc_id"], "_r"))
+    own = F.monotonically_increasing_id() if key is None else docs[key]
+    base = cut(docs.select("doc_id", "source", src.alias("src"), F.xxhash64(F.lit(seed), "doc_id").alias("_h"), own.alias("_key")))
+    base = cut(ranked(base, ["src"], ["_h", "doc_id", "_key"], "_r"))
     sizes = base.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     natural = F.pow(F.col("n").cast("double"), F.lit(temperature))
     if weights:
@@ -118,11 +122,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     cycles = plan.groupBy("cycle").agg(F.sum("size").alias("size")).select("cycle", before(Window.orderBy("cycle")).alias("_earlier"))
     plan = plan.select("src", "block", "slot", "cycle", before(Window.partitionBy("cycle").orderBy("slot", "src")).alias("_before")).join(cycles, "cycle").drop("cycle")
     rows = base.withColumn("block", F.expr(f"_r div {block}")).join(plan, ["src", "block"])
-    return rows.select("doc_id", "source", "block", "slot", (F.col("_earlier") + F.col("_before") + F.col("_r") % block).alias("position"))
+    keys = [] if key is None else [F.col("_key").alias(key)]
+    return rows.select("doc_id", "source", "block", "slot", *keys, (F.col("_earlier") + F.col("_before") + F.col("_r") % block).alias("position"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """All columns and rows of ``docs``, stored in mixed order: range-dealt and sorted by position."""
-    place = mix(docs, **options).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    out = docs.join(place.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return out.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
+    key, position = free_name(docs, "_key"), free_name(docs, "_position")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    place = mix(keyed, key=key, **options)
+    place = cut(place.select(F.col(key).alias("_k"), F.col("position").alias(position)))
+    out = keyed.join(small(place), keyed[key] == place["_k"])
+    return out.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)
