@@ -3,16 +3,18 @@
 Groups of one size are interchangeable, so the schedule is computed from the histogram of group
 sizes: a heap of shard loads takes the sizes in descending order, and a size with many groups is
 dealt out in closed form (its groups go to the earliest finishing shards, as single heap steps
-would). With T bytes in all there are at most sqrt(2 T) distinct sizes, which bounds what the
-driver holds (100 TB: 14 million numbers); groups themselves never leave the executors.
+would). The histogram streams through the driver in descending order and the schedule is written
+SIZES sizes at a time, so the driver holds the heap and one such run of sizes at any scale (with T
+bytes in all there are at most sqrt(2 T) distinct sizes); groups never leave the executors.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, ranked, stored_place
@@ -21,13 +23,14 @@ from .common import cut, ranked, stored_place
 HOT_SHARE = 512
 #: Rows of a file that one task numbers in stored order.
 CHUNK = 65_536
+#: Sizes of the schedule that the driver holds at a time.
+SIZES = 50_000
 
 
-def lpt(hist: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
-    """hist: (size, groups of that size). Per size: shard numbers and the ranks at which each shard's run of groups ends."""
+def lpt(hist: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """hist: (size, groups of that size), largest first. Per size: shard numbers and the ranks at which each shard's run of groups ends."""
     heap = [(0, s) for s in range(shards)]
-    plan = []
-    for size, n in sorted(hist, reverse=True):
+    for size, n in hist:
         take = [0] * shards
         if n <= 4 * shards:
             for _ in range(n):
@@ -54,8 +57,18 @@ def lpt(hist: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int],
                 done += k
                 own.append(s)
                 ends.append(done)
-        plan.append((size, own, ends))
-    return plan
+        yield size, own, ends
+
+
+def _schedule(spark: SparkSession, groups: DataFrame, shards: int) -> DataFrame:
+    """deal_bytes, own, ends: the rows of ``lpt`` over the sizes of ``groups``."""
+    schema = "deal_bytes long, own array<int>, ends array<long>"
+    hist = groups.groupBy("group_bytes").count().orderBy(F.col("group_bytes").desc()).toLocalIterator()
+    plan = lpt(((r[0], r[1]) for r in hist), shards)
+    out = spark.createDataFrame([], schema)
+    while some := list(islice(plan, SIZES)):
+        out = out.union(cut(spark.createDataFrame(some, schema)))
+    return out
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, stored_order: bool = False) -> DataFrame:
@@ -71,8 +84,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, stored_order: bool = False
     stored = [c.alias(name) for c, name in zip(stored_place(docs), ["_file", "_row"])] if stored_order else []
     base = cut(docs.select(*stored, "doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
     groups = cut(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).select("digest", "n", (F.col("n") * F.col("size")).alias("group_bytes")))
-    plan = lpt([(r[0], r[1]) for r in groups.groupBy("group_bytes").count().collect()], shards)
-    deal = spark.createDataFrame(pd.DataFrame(plan, columns=["deal_bytes", "own", "ends"]) if plan else [], "deal_bytes long, own array<int>, ends array<long>")
+    deal = _schedule(spark, groups, shards)
     place = ranked(groups, ["group_bytes"], ["digest"], "rank").join(deal, F.col("group_bytes") == F.col("deal_bytes"))
     place = cut(place.select("digest", "n", F.expr("own[size(filter(ends, e -> e <= rank))]").alias("shard")))
     rows = groups.agg(F.sum("n")).first()[0] or 0
