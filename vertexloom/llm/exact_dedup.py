@@ -2,8 +2,8 @@
 
 Misra-Gries summaries find the digests that may be frequent; one exact count verifies them and
 names their winners, at most ``COUNTERS`` rows, which are broadcast so that copies of a frequent
-text are settled on the map side. All other digests are rare by the summary's guarantee and go
-through an ordinary shuffle.
+text are settled on the map side. All other digests are rare by the summary's guarantee; they are
+aggregated on the map side too, and joined back by an ordinary shuffle.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 #: Counters of a summary: a digest with more than rows / (COUNTERS + 1) copies is certain to be found.
 COUNTERS = 512
@@ -32,7 +32,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_digests(docs: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of the text with A-Z lower-cased (bytes.lower touches ASCII alone); null is empty."""
-    return docs.select("doc_id", "text").mapInArrow(_digests, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary")
+    return map_arrow(docs.select("doc_id", "text"), _digests, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary")
 
 
 def _shrink(counts: dict[bytes, int], k: int) -> dict[bytes, int]:
@@ -86,7 +86,9 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     heavy = F.broadcast(d.join(F.broadcast(found), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     heavy = F.broadcast(cut(heavy))
     hot = d.join(heavy, "digest")
-    w = Window.partitionBy("digest")
-    rest = d.join(heavy, "digest", "left_anti").select("digest", "doc_id", F.max("doc_id").over(w).alias("keep_id"), F.count(F.lit(1)).over(w).alias("group_size"))
+    cold = d.join(heavy, "digest", "left_anti")
+    # written, so that both sides of the join have an exchange of their own and adaptive execution can split them
+    winners = cut(cold.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    rest = cold.join(winners, "digest").select("digest", "doc_id", "keep_id", "group_size")
     both = hot.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest)
     return both.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
