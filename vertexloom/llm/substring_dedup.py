@@ -9,7 +9,8 @@ stays and all others go, if they stand in a run of removed units of MIN_WORDS wo
 ``short_lines``, are a whole line of any length.
 
 Each map task settles the repeats among its own rows first, so even a unit of every document reaches
-the shuffle only once a task; one shuffle of 64-byte rows decides the rest.
+the shuffle only once a task; one shuffle and a window over each digest decide the rest. Which units
+go doesn't depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -22,16 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_parts
+from .common import cut, free_name, map_arrow, small
 from .textvec import SPACES, _grow, mix, pieces, words
 
 REACH, MIN_WORDS = 4, 10
 #: Rows that a map task settles among themselves at a time, which bounds its memory.
 ROWS_AT_ONCE = 1_000_000
 _U = np.uint64
-_NULL_ID = np.iinfo(np.int64).max
-_COLUMNS = ["d1", "d2", "doc_id", "start", "end", "n_words", "line", "repeat", "seen_doc_id", "seen_start"]
-_SCHEMA = "d1 long, d2 long, doc_id long, start long, end long, n_words int, line boolean, repeat boolean, seen_doc_id long, seen_start long"
+_COLUMNS = ["d1", "d2", "doc_id", "no_id", "row", "start", "end", "n_words", "line", "repeat"]
+_SCHEMA = "d1 long, d2 long, doc_id long, no_id boolean, row long, start long, end long, n_words int, line boolean, repeat boolean"
 
 
 def _word_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -89,77 +89,67 @@ def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple[np
     return d[0], d[1], text, start, stop, cut_after - first + 1, last[cut_after] & last[first - 1]
 
 
-def _settle(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Mark all but the first ranked of equal units as repeats, with the place of that first one."""
-    order = np.lexsort((t["start"], t["doc_id"], t["d2"], t["d1"]))
+def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """All rows, with all but the first ranked of equal units marked as repeats."""
+    t = {c: np.concatenate(v) for c, v in zip(_COLUMNS, zip(*held))}
+    order = np.lexsort((t["start"], t["row"], t["doc_id"], t["no_id"], t["d2"], t["d1"]))
     t = {k: v[order] for k, v in t.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (t["d1"][1:] != t["d1"][:-1]) | (t["d2"][1:] != t["d2"][:-1])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return t | {"repeat": ~new, "seen_doc_id": t["doc_id"][head], "seen_start": t["start"][head]}
-
-
-def _batches(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(t["d1"]), 50_000):
+    repeat = np.zeros(len(order), bool)
+    repeat[1:] = (t["d1"][1:] == t["d1"][:-1]) & (t["d2"][1:] == t["d2"][:-1])
+    t["repeat"] = repeat
+    for i in range(0, len(order), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(t[c][i : i + 50_000]) for c in _COLUMNS], _COLUMNS)
 
 
-def _joined(held: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
-    return {c: np.concatenate(v) for c, v in zip(_COLUMNS, zip(*held))}
-
-
 def _map(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            ids = b.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
-            for row, data, at in pieces(b.column(1)):
+            no_id = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids, rows = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy()
+            for first, data, at in pieces(b.column(2)):
                 d1, d2, text, start, stop, k, line = units(data, at, reach)
-                held.append((d1, d2, ids[row + text], start, stop, k.astype(np.int32), line))
+                own = first + text
+                held.append((d1, d2, ids[own], no_id[own], rows[own], start, stop, k.astype(np.int32), line))
                 n += len(d1)
                 if n >= ROWS_AT_ONCE:
-                    yield from _batches(_settle(_joined(held)))
+                    yield from _settle(held)
                     held, n = [], 0
         if n:
-            yield from _batches(_settle(_joined(held)))
+            yield from _settle(held)
 
     return run
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of equal units come to one task; what map tasks found to repeat is already settled."""
-    held = []
-    for b in batches:
-        done = b.column(7).to_numpy(zero_copy_only=False)
-        if done.any():
-            yield b.filter(b.column(7))
-        keep = b.filter(pa.array(~done))
-        held.append(tuple(keep.column(i).to_numpy(zero_copy_only=False) for i in range(7)))
-    if held:
-        t = _settle(_joined(held))
-        yield from _batches({c: v[t["repeat"]] for c, v in t.items()})
+def _row_spans(rows: DataFrame, reach: int, min_words: int, short_lines: bool) -> DataFrame:
+    """Of rows (doc_id long, row, text): the spans to remove, as row, doc_id, start, end, n_words, unit."""
+    found = map_arrow(rows, _map(reach), _SCHEMA)
+    # a map task's repeats are settled; they are dealt out evenly, each for itself
+    deal = [F.when(F.col("repeat"), F.xxhash64("row", "start")).otherwise(F.col("d1")).alias("_d"), F.when(~F.col("repeat"), F.col("d2")).alias("_e")]
+    first = F.row_number().over(Window.partitionBy("_d", "_e", "repeat").orderBy("no_id", "doc_id", "row", "start")) == 1
+    gone = found.select("*", *deal).withColumn("_first", first).where("repeat OR NOT _first").drop("_d", "_e", "_first")
+    w = Window.partitionBy("row").orderBy("start", "end")
+    runs = gone.select("*", F.lag("end").over(w).alias("_end")).withColumn("_run", F.sum(F.when(F.col("start") == F.col("_end"), 0).otherwise(1)).over(w))
+    # of a run that is too short, only its whole lines can go, and other units part them
+    whole = F.col("line") if short_lines else F.lit(False)
+    runs = runs.select("*", F.sum(F.when(whole, 0).otherwise(1)).over(w).alias("_part"), (F.sum("n_words").over(Window.partitionBy("row", "_run")) >= min_words).alias("_long"))
+    runs = runs.where(F.col("_long") | whole).withColumn("_part", F.when(F.col("_long"), 0).otherwise(F.col("_part")))
+    doc_id = F.first(F.when(~F.col("no_id"), F.col("doc_id")))
+    return runs.groupBy("row", "_run", "_part").agg(doc_id.alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by("d1", "start").alias("unit")).drop("_run", "_part")
 
 
 def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
-    """Spans to remove: doc_id, start, end (code points of the original text), n_words, seen_doc_id, seen_start.
+    """Spans to remove: doc_id, start, end (code points of the original text), n_words, unit (digest of the span's first unit).
 
     Runs of fewer than ``min_words`` words stay; with ``short_lines``, the whole lines among them go too.
-    seen_* is an earlier ranked occurrence of the span's first unit. Null doc_ids rank last and come
-    back as null; rows that share a doc_id rank by offset, and of wholly equal rows one is first. Null
-    texts have no units. doc_id must be an integer.
+    Occurrences rank by doc_id (null last), then by row as stored, then by offset. Rows that share a
+    doc_id, or have none, are texts of their own. Null texts have no units. doc_id must be an integer.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map(reach), _SCHEMA)
-    to = F.when(F.col("repeat"), F.xxhash64("doc_id", "start")).otherwise(F.col("d1"))
-    gone = found.repartition(n_parts(docs.sparkSession), to).mapInArrow(_reduce, _SCHEMA)
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
-    runs = gone.select("*", F.lag("end").over(w).alias("_end")).withColumn("_run", F.sum(F.when(F.col("start") == F.col("_end"), 0).otherwise(1)).over(w))
-    # of a run that is too short, only its whole lines can go, and other units part them
-    whole = F.col("line") if short_lines else F.lit(False)
-    runs = runs.select("*", F.sum(F.when(whole, 0).otherwise(1)).over(w).alias("_part"), (F.sum("n_words").over(Window.partitionBy("doc_id", "_run")) >= min_words).alias("_long"))
-    runs = runs.where(F.col("_long") | whole).withColumn("_part", F.when(F.col("_long"), 0).otherwise(F.col("_part")))
-    spans = runs.groupBy("doc_id", "_run", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min_by(F.struct("seen_doc_id", "seen_start"), "start").alias("_seen"))
-    real = lambda c: F.when(c != _NULL_ID, c)
-    return spans.select(real(F.col("doc_id")).alias("doc_id"), "start", "end", "n_words", real(F.col("_seen.seen_doc_id")).alias("seen_doc_id"), F.col("_seen.seen_start").alias("seen_start"))
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id is {kind}: occurrences are ranked by an integer doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    return _row_spans(rows, reach, min_words, short_lines).select("doc_id", "start", "end", "n_words", "unit")
 
 
 def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -175,9 +165,18 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """All rows and columns of ``docs``, with repeated spans cut out of the text, and ``removed``: their original offsets."""
-    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    both = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_id"]), "left")
-    text = F.pandas_udf(_without, "string")(docs["text"], spans["_gone"])
-    return both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], spans["_gone"].alias("removed"))
+def without_repeats(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+    """All rows and columns of ``docs``, with repeated spans cut out of the text, and their original offsets.
+
+    The offsets are in a column ``removed`` (null without any), with underscores after it if ``docs`` has one of that name.
+    Ranks are as in ``repeated_spans``, also for a doc_id that is no integer: then by row as stored.
+    """
+    key, removed = free_name(docs, "_key"), free_name(docs, "removed")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    integer = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    doc_id = (F.col("doc_id") if integer else F.lit(None)).cast("long").alias("doc_id")
+    spans = _row_spans(keyed.select(doc_id, F.col(key).alias("row"), "text"), reach, min_words, short_lines)
+    spans = cut(spans.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone")))
+    both = keyed.join(small(spans), keyed[key] == spans["_row"], "left")
+    text = F.pandas_udf(_without, "string")(keyed["text"], spans["_gone"])
+    return both.select(*[text.alias("text") if c == "text" else keyed[c] for c in docs.columns], spans["_gone"].alias(removed))
