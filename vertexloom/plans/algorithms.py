@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .contraction import weak_components
 from .graph import Graph
 from .program import EngineConfig, Result, VertexProgram, run
 
@@ -73,8 +74,10 @@ def labels(graph: Graph, min_label: bool = True, max_label: bool = False, mode:
     return run(graph, label_program(min_label, max_label), EngineConfig(max_iter=max_iter, mode=mode))
 
 
-def wcc(graph: Graph, mode: str = "frontier") -> Result:
-    """Weakly connected components: smallest labels over both directions."""
+def wcc(graph: Graph, mode: str = "contract") -> Result:
+    """Weakly connected components: the smallest id of each. ``mode``: contract, or a mode of label propagation over both directions."""
+    if mode == "contract":
+        return Result(weak_components(graph))
     return labels(graph.symmetrize(), mode=mode)
 
 

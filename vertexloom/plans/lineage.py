@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; a folder of our own only where it is not."""
+    """spark.checkpoint.dir where it is set; a folder of our own only where it is not, and only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vertexloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -24,6 +27,7 @@ class Kept:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         self.number = 0
+        atexit.register(self._delete, self.folder)
 
     def put(self, df: DataFrame) -> tuple[DataFrame, int, int]:
         """Write ``df`` (with a boolean ``changed``); the written copy, its changed rows and all its rows, in one job."""
@@ -37,5 +41,8 @@ class Kept:
         return out, seen.get["changed"], seen.get["n"]
 
     def _delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        try:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # at the driver's end, when the JVM may be gone
+            return

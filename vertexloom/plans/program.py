@@ -2,12 +2,13 @@
 
 A step is one plan and one job: it joins the state to the edges, aggregates messages by target (with
 partial aggregation before the exchange), and joins the result to all vertices. Edges are dealt by
-source once and kept in that order, so steps never shuffle them. Each state is written to shared
+source and sorted once, so steps neither shuffle nor sort them. Each state is written to shared
 storage and read back, which ends its lineage; the same job observes how many vertices changed.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -54,6 +55,8 @@ class Result:
     state: DataFrame
     #: (step, changed vertices, their share); the last row of a converged run has none changed.
     metrics: list[tuple[int, int, float]] = field(default_factory=list)
+    #: Wall-clock seconds of each step, the state's count included.
+    seconds: list[float] = field(default_factory=list)
 
 
 def _moved(program: VertexProgram, tol: float) -> Column:
@@ -83,17 +86,18 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
     spark = graph.vertices.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-    edges = graph.hold(graph.edges.join(degrees, "src").repartition(parts, "src"))
+    edges = graph.hold(graph.edges.join(degrees, "src").repartition(parts, "src").sortWithinPartitions("src"))
     first = graph.vertices.join(degrees.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
     kept = Kept(spark)
     state, _, _ = kept.put(first.select("id", *[c.alias(k) for k, c in program.init.items()], F.lit(True).alias("changed")))
     index = pid = None
     if config.mode in ("selective", "async"):
         pid = graph.hold(partition_assign(graph, config.partitions if config.mode == "selective" else config.blocks))
-        edges = graph.hold(edges.join(pid.withColumnRenamed("id", "dst"), "dst").repartition(parts, "src"))
+        edges = graph.hold(edges.join(pid.withColumnRenamed("id", "dst"), "dst").repartition(parts, "src").sortWithinPartitions("src"))
         index = graph.hold(partition_source_index(edges))
-    metrics, share = [], 1.0
+    out, share = Result(state), 1.0
     for step in range(1, config.max_iter + 1):
+        began = time.monotonic()
         if config.mode == "async":
             new = state
             for block in range(config.blocks):
@@ -112,8 +116,10 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
             new = _step(state, on, program, config.tol)
         state, changed, n = kept.put(new)
         share = changed / n if n else 0.0
-        metrics.append((step, changed, share))
+        out.metrics.append((step, changed, share))
+        out.seconds.append(time.monotonic() - began)
         if config.stop_when_stable and not changed:
             break
+    out.state = state.drop("changed")
     graph.release()
-    return Result(state.drop("changed"), metrics)
+    return out

@@ -192,16 +192,31 @@ def partition_source_index(spark, d):
     return p.partition_source_index(p.partitioned_edges(derived.multi(spark, d), P))
 
 
-@query(f"{_PID} SELECT DISTINCT pid FROM pe WHERE src % 100 = 1 AND src < 200")
+#: The frontier after so many hops from vertex 1 of the sparse graph: what selective scheduling sees late in a run.
+HOPS = 20
+
+
+def _frontier(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The source index of the sparse edges, and the vertices that HOPS steps have just reached."""
+    graph = derived.sparse(spark, d)
+    pid = p.partition_assign(derived.multi(spark, d), P)
+    index = p.partition_source_index(graph.edges.join(pid.withColumnRenamed("id", "dst"), "dst"))
+    return index, alg.sssp(graph, mode="frontier").state.where(F.col("dist") == HOPS).select("id")
+
+
+_FRONTIER = f"""{_PID}, pes AS (SELECT es.src, pid FROM es JOIN pid ON pid.id = es.dst), r(i, id, val) AS (SELECT 0, id, CASE WHEN id = 1 THEN 0 ELSE 10000 END FROM v UNION ALL
+  SELECT min(i) + 1, id, min(val) FROM (SELECT r.i, es.dst AS id, least(val + 1, 10000) AS val FROM r JOIN es ON es.src = r.id UNION ALL SELECT i, id, val FROM r) x WHERE i < 40 GROUP BY id),
+live AS (SELECT DISTINCT pid FROM pes JOIN r ON r.id = pes.src WHERE i = 40 AND val = {HOPS})"""
+
+
+@query(f"{_FRONTIER} SELECT pid FROM live")
 def active_partitions(spark, d):
-    graph = derived.multi(spark, d)
-    return p.active_partitions(p.partition_source_index(p.partitioned_edges(graph, P)), graph.vertices.where("id % 100 = 1 AND id < 200"))
+    return p.active_partitions(*_frontier(spark, d))
 
 
-@query(f"{_PID} SELECT DISTINCT pid FROM pe WHERE pid NOT IN (SELECT pid FROM pe WHERE src % 100 = 1 AND src < 200)")
+@query(f"{_FRONTIER} SELECT DISTINCT pid FROM pes WHERE pid NOT IN (SELECT pid FROM live)")
 def skipped_partitions(spark, d):
-    graph = derived.multi(spark, d)
-    return p.skipped_partitions(p.partition_source_index(p.partitioned_edges(graph, P)), graph.vertices.where("id % 100 = 1 AND id < 200"))
+    return p.skipped_partitions(*_frontier(spark, d))
 
 
 @query(f"""{_PID}, ch AS (SELECT v.id, coalesce(min(es.src) < v.id, false) AS changed FROM v LEFT JOIN es ON es.dst = v.id GROUP BY v.id)
@@ -494,6 +509,34 @@ def wcc(spark, d):
     return alg.wcc(derived.sparse(spark, d)).state.withColumnRenamed("min_id", "component")
 
 
+@query(f"{_SYM}{_spread('id', 'val', 'min', 'sy')} SELECT id, val AS component FROM r WHERE i = 40")
+def wcc_by_labels(spark, d):
+    return alg.wcc(derived.sparse(spark, d), mode="frontier").state.withColumnRenamed("min_id", "component")
+
+
+# the same over all edges
+
+
+@query(_SSSP.replace("JOIN es e", "JOIN ed e"))
+def sssp_dense(spark, d):
+    return alg.sssp(derived.dense(spark, d), mode="frontier").state
+
+
+@query(_MIN.replace("JOIN es e", "JOIN ed e"))
+def cc_min_dense(spark, d):
+    return alg.labels(derived.dense(spark, d)).state
+
+
+@query(f"{_spread('id', 'val', 'max', 'ed')} SELECT id, val AS max_id FROM r WHERE i = 40")
+def cc_max_dense(spark, d):
+    return alg.labels(derived.dense(spark, d), min_label=False, max_label=True).state
+
+
+@query(f"{_SYM.replace('FROM es', 'FROM ed')}{_spread('id', 'val', 'min', 'sy')} SELECT id, val AS component FROM r WHERE i = 40")
+def wcc_dense(spark, d):
+    return alg.wcc(derived.dense(spark, d)).state.withColumnRenamed("min_id", "component")
+
+
 @query(""", de AS (SELECT DISTINCT src, dst FROM em), b AS (SELECT a.dst AS id, count(*) AS n FROM de a JOIN de b ON a.src = b.dst AND a.dst = b.src GROUP BY a.dst)
 SELECT v.id, CAST(coalesce(n, 0) AS BIGINT) AS reciprocal FROM v LEFT JOIN b USING (id)""")
 def reciprocal_count(spark, d):
