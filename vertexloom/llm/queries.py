@@ -24,7 +24,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages)))
+    return url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages).where("NOT held_out")))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,13 @@ c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
              sum({_MARKS} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, false AS rewrites_history FROM c""",
         "op6_decontamination": f"""
-WITH {_shingles("documents", "doc_id", "[a-z0-9\\x{80}-\\x{10FFFF}]+", 5)},
-{_shingles("benchmark", "item_id", "[a-z0-9\\x{80}-\\x{10FFFF}]+", 5)},
-m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM documents_s d JOIN benchmark_s b USING (g) GROUP BY ALL)
-SELECT doc_id, item_id, n AS n_item, n_shared, n_shared / n AS containment FROM m JOIN benchmark_n ON id = item_id WHERE 5 * n_shared >= 4 * n""",
+WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM b) ON len(w) >= k)),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, g) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, n_shared, n_shared / n AS containment FROM m JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n""",
         "op8_ngram_join": f"""
 WITH RECURSIVE {_shingles("documents", "doc_id", "[^\\x20\\x09-\\x0D]+", 3)},
 shared AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM documents_s a JOIN documents_s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),

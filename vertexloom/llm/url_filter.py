@@ -1,12 +1,15 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-DataFrame expressions only. Trees are grown on histograms: features are binned, each level of a
+DataFrame expressions only. The trees see how a URL is written (lengths, depth, digits, entropy,
+parameters, how its path ends), not whose it is: host names and their suffixes are left to the rules.
+Trees are grown on histograms: features are binned, each level of a
 tree is one aggregation of gradient sums by (node, feature, bin), and the finished trees become one
 SQL expression over the bins, so scoring is a projection.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +22,9 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: At most so many labelled URLs are learned from: those with the smallest hash of the URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, RIDGE = 12, 3, 0.4, 16, 1.0
-#: Rows that the prior counts for in a suffix's block rate.
+#: Rows that the prior counts for in the block rate of a path's suffix.
 PRIOR_ROWS = 20.0
-FEATURES = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_parameters", "has_fragment", "secure", "n_hyphens", "suffix_rate", "tld_rate"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_parameters", "has_fragment", "secure", "n_hyphens", "suffix_rate"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,20 +50,25 @@ def parsed(pages: DataFrame, rules: list = RULES) -> DataFrame:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Add the lexical features of url, host and path, and the host's suffix (last two labels) and tld."""
+    """Add the lexical features of url, host and path, and the path's suffix: its extension, ``/``, or what kind its end is.
+
+    Entropy is over lower-cased letters, digits, URL signs, and all other characters together.
+    """
     u = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
     lowered = F.lower(u)
     many = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
     share = [many(lowered, c) / n for c in "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#:%"]
-    entropy = sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share), F.lit(0.0))
+    share.append(F.greatest(F.lit(0.0), 1 - sum(share, F.lit(0.0))) * F.when(F.length(u) > 0, 1.0).otherwise(0.0))
+    entropy = sum((F.when(p > 1e-12, -p * F.log2(p)).otherwise(0.0) for p in share), F.lit(0.0))
     digits = n - F.length(F.translate(u, "0123456789", ""))
     d = lambda c: c.cast("double")
+    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})$", 1))
     return urls.select(
         "*", d(F.length(u)).alias("url_length"), d(F.length("host")).alias("host_length"), d(F.length("path")).alias("path_length"), d(many(F.col("path"), "/")).alias("depth"),
         d(many(F.col("host"), ".")).alias("host_labels"), (F.when(F.length(u) == 0, 0.0).otherwise(digits / n)).alias("digit_ratio"), entropy.alias("entropy"),
         d(many(u, "&") + F.when(F.contains(u, F.lit("?")), 1).otherwise(0)).alias("n_parameters"), d(F.contains(u, F.lit("#"))).alias("has_fragment"), d(u.startswith("https:")).alias("secure"), d(many(u, "-")).alias("n_hyphens"),
-        F.substring_index("host", ".", -2).alias("suffix"), F.substring_index("host", ".", -1).alias("tld"),
+        F.when(F.col("path").endswith("/"), "/").when(extension != "", extension).when(F.col("path").rlike("[0-9]$"), "digit").otherwise("other").alias("suffix"),
     )
 
 
@@ -69,7 +77,6 @@ class UrlModel:
     """A fitted filter: suffix block rates (at most TRAIN_ROWS rows), bin edges, and the trees as one SQL expression."""
 
     suffixes: DataFrame | None
-    tlds: DataFrame | None
     prior: float
     edges: list[list[float]]
     margin: str
@@ -78,14 +85,14 @@ class UrlModel:
         """Add ``score``: the probability of label 1. ``urls``: url, host, path and any other columns."""
         if self.suffixes is None:
             return urls.withColumn("score", F.lit(self.prior))
-        x = _rated(lexical(urls), self.suffixes, self.tlds, self.prior)
+        x = _rated(lexical(urls), self.suffixes, self.prior)
         return _binned(x, self.edges).withColumn("score", F.expr(f"1 / (1 + exp(-({self.margin})))"))
 
 
-def _rated(x: DataFrame, suffixes: DataFrame, tlds: DataFrame, prior: float) -> DataFrame:
-    # both tables have at most one row for each of TRAIN_ROWS labelled URLs
-    x = x.join(F.broadcast(suffixes), "suffix", "left").join(F.broadcast(tlds), "tld", "left")
-    return x.fillna({"suffix_rate": prior, "tld_rate": prior})
+def _rated(x: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
+    # at most one row for each of TRAIN_ROWS labelled URLs
+    rated = x.join(F.broadcast(suffixes.withColumnRenamed("suffix", "_suffix")), F.col("suffix") == F.col("_suffix"), "left")
+    return rated.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(prior)))
 
 
 def _binned(x: DataFrame, edges: list[list[float]]) -> DataFrame:
@@ -93,34 +100,32 @@ def _binned(x: DataFrame, edges: list[list[float]]) -> DataFrame:
     return x.withColumn("b", F.array(*at))
 
 
-def _rates(x: DataFrame, key: str, prior: float) -> DataFrame:
-    return x.groupBy(key).agg(((F.sum("y") + PRIOR_ROWS * prior) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias(f"{key}_rate"))
+def _rates(x: DataFrame, prior: float) -> DataFrame:
+    return x.groupBy("suffix").agg(((F.sum("y") + PRIOR_ROWS * prior) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias("suffix_rate"))
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, rows: int = TRAIN_ROWS) -> UrlModel:
-    """Fit on ``labelled`` (url, label 0 or 1), or on the ``rows`` of them whose URL has the smallest hash.
+    """Fit on ``labelled`` (url, label 0 or 1), or on the ``rows`` distinct ones of them whose URL has the smallest hash.
 
     Without rows, or with one label only, the model is that label's share (0 without rows).
     """
     host, path = host_and_path(F.col("url"))
-    some = labelled.select("url", F.col("label").cast("double").alias("y")).where("y IS NOT NULL").orderBy(F.xxhash64("url"), "url", "y").limit(rows)
+    some = labelled.select("url", F.col("label").cast("double").alias("y")).where("y IS NOT NULL").distinct().orderBy(F.xxhash64("url"), "url", "y").limit(rows)
     some = cut(lexical(some.select("url", "y", host.alias("host"), path.alias("path"))))
     n, ones = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     prior = ones / n if n else 0.0
     if ones in (0, n):
-        return UrlModel(None, None, prior, [], "0D")
-    suffixes, tlds = cut(_rates(some, "suffix", prior)), cut(_rates(some, "tld", prior))
-    x = _rated(some, suffixes, tlds, prior)
+        return UrlModel(None, prior, [], "0D")
+    suffixes = cut(_rates(some, prior))
+    x = _rated(some, suffixes, prior)
     cuts = [i / bins for i in range(1, bins)]
     found = x.agg(*[F.percentile_approx(f, cuts, 1000).alias(f) for f in FEATURES]).first()
     edges = [sorted(set(found[f])) for f in FEATURES]
     x = cut(_binned(x, edges).select("y", "b"))
-    import math
-
     margin = f"{math.log(prior / (1 - prior))!r}D"
     for _ in range(trees):
         margin = f"{margin} + {_tree(x, margin, depth, rate)}"
-    return UrlModel(suffixes, tlds, prior, edges, margin)
+    return UrlModel(suffixes, prior, edges, margin)
 
 
 def _tree(x: DataFrame, margin: str, depth: int, rate: float) -> str:
@@ -158,16 +163,30 @@ def _tree(x: DataFrame, margin: str, depth: int, rate: float) -> str:
     return walk(1, lambda n: f"{rate * sums.get(n, (0.0, 0.0))[0] / (sums.get(n, (0.0, 0.0))[1] + RIDGE)!r}D")
 
 
+#: Held back from learning by the query: labelled URLs whose hash is divisible by HELD_OUT.
+HELD_OUT = 5
+
+
 def rule_labels(pages: DataFrame, rules: list = RULES) -> DataFrame:
-    """The URLs that a rule decides, labelled 1 for block and 0 for allow: what the query learns from."""
-    return parsed(pages, rules).where("fit IS NOT NULL").select("url", (F.col("fit.verdict") == "block").cast("int").alias("label"))
+    """The URLs that a rule decides: url, label (1 for block, 0 for allow), held_out."""
+    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+    return parsed(pages, rules).where("fit IS NOT NULL").select("url", (F.col("fit.verdict") == "block").cast("int").alias("label"), held.alias("held_out"))
+
+
+def agreement(labelled: DataFrame, model: UrlModel) -> tuple[int, float, float]:
+    """Of ``labelled`` (url, label): rows, the share that the model decides as labelled, and the share of the commoner label."""
+    host, path = host_and_path(F.col("url"))
+    got = model.score(labelled.select("url", "label", host.alias("host"), path.alias("path")))
+    n, right, ones = got.agg(F.count(F.lit(1)), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")), F.avg("label")).first()
+    return n, right, max(ones, 1 - ones) if n else None
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: list = RULES) -> DataFrame:
     """Per row: page_id, host, path, rule (null without one), verdict, score.
 
     The longest fitting rule decides; without one the model blocks from a score of 0.5. Null URLs and
-    those without ``://`` have an empty host and path and are judged by the model.
+    those without ``://`` have an empty host and path and are judged by the model. Repeated rows give
+    repeated results; other columns are not read. Empty input: no rows.
     """
     out = model.score(parsed(pages, rules))
     by_model = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
