@@ -445,6 +445,10 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.n
     first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), key)), F.min(key))
     nodes = signed.where("n > 0").groupBy(*digest).agg(first.alias("key"), F.any_value("bitmap").alias("bitmap"), F.any_value("route").alias("route"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    names = nodes.select(*[F.col(c).alias(f"_{c}") for c in digest], "node", F.col("key.doc_id").alias("rep"))
+    rows = signed.select("doc_id", *digest)
+    rows = cut(rows.join(names, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left").select("doc_id", "n", "node", "rep"))
+    drop(signed)
     branch, pairs = _branches(nodes.select(F.explode("route").alias("token"), "node", "n"), percent)
     links = _links(pairs, nodes, docs, k, percent, ends)
     blocks, files = _blocks(branch, components(links), percent)
@@ -453,15 +457,12 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.n
     more = cut(found.distinct().join(pairs, ["a", "b"], "left_anti"))
     drop(branch, *files)
     others = more if more.isEmpty() else _links(more, nodes, docs, k, percent, ends)
-    names = nodes.select(*[F.col(c).alias(f"_{c}") for c in digest], "node", F.col("key.doc_id").alias("rep"))
-    rows = signed.select("doc_id", *digest)
-    rows = cut(rows.join(names, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left").select("doc_id", "n", "node", "rep"))
     # rows that repeat a doc_id with other texts are one document
     own = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     same = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     label = components(links.union(others).union(same))
-    drop(signed, pairs, links, more)
+    drop(pairs, links, more)
     placed = label.join(names.select("node", "rep"), "node")
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = cut(placed.join(smallest, "root").select("node", "component_id"))
