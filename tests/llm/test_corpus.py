@@ -72,6 +72,8 @@ def test_chat_query_digests(spark):
     assert got[1]["turns_sha256"] == sha("user\n\nassistant\nb\nassistant\nb\n") and got[1]["loss_sha256"] == sha("bb") and got[1]["n_turns"] == 3
     assert got[2]["turns_sha256"] == sha("\n</s>\n") and got[2]["loss_chars"] == 0
     assert got[None]["loss_chars"] == 2
+    lone = spark.createDataFrame([(None, 0, "assistant", "a"), (None, 0, "assistant", "b"), (3, None, "assistant", "x" * 200_000)], "conv_id long, turn long, role string, text string")
+    assert sorted(r["loss_chars"] for r in chat.digests(chat.format_conversations(lone)).collect()) == [1, 1, 200_000]
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
@@ -114,6 +116,68 @@ def test_toxicity_learns_from_the_rest_and_finds_the_held_out(spark):
     assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def slow_features(stems, text):
+    """The features by looking back over the words of each clause, without machines."""
+    scores = []
+    for clause in re.split(r"[.!?;\n]", text):
+        starts = [m.start() for m in re.finditer(r"[^\W\d_]", clause) if not m.start() or not clause[m.start() - 1].isalpha()]
+        threats = [at for at in starts for t in toxicity.THREATS if re.match(re.escape(t) + r"(?![^\W\d_])", clause[at:])]
+        if not threats and not any(clause.startswith(s, at) for at in starts for s in stems):
+            continue
+        words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause)
+        weight = [max((w for s, w in stems.items() if x.startswith(s)), default=None) for x in words]
+        role = lambda i, names: weight[i] is None and words[i] in names
+        is_threat = [weight[i] is None and x in toxicity.THREATS for i, x in enumerate(words)]
+        kind = lambda i, names: role(i, names) and not is_threat[i]
+        targets = [kind(i, toxicity.TARGETS) and not role(i, toxicity.MODALS) for i in range(len(words))]
+        reports = [j for j in range(len(words)) if kind(j, toxicity.REPORTING)]
+        score, menace = 0.0, 0
+        for i, x in enumerate(words):
+            denied = any(kind(j, toxicity.NEGATIONS) for j in range(max(0, i - 3), i))
+            quoted = any(j < i for j in reports[:1])
+            aimed = any(targets[max(0, i - 5) : i])
+            if weight[i] is not None:
+                score += weight[i] * (-0.5 if denied else 0.4 if quoted else 1.5 if aimed else 1.0)
+            elif is_threat[i] and not denied:
+                score += 4.0 * 0.4 if quoted else 0
+                menace = 2 if menace == 1 and not quoted else menace
+            elif role(i, toxicity.MODALS):
+                menace = max(menace, 1)
+            elif targets[i] and menace == 2:
+                score, menace = score + 2.0 * 4.0, 0
+        scores.append(score)
+    up = [s for s in scores if s > 0]
+    return [float(bool(up)), min(sum(up), 40) / 10, max(up, default=0) / 10, np.log1p(len(up)), np.log1p(sum(up) / (1 + len(text) / 500)), float(len(scores) > len(up)), np.log1p(-sum(s for s in scores if s < 0))]
+
+
+def test_grammar_against_looking_back():
+    rnd = random.Random(5)
+    stems = {"idiot": 4.0, "scu": 3.5, "zquarx": 5.0, "kil": 3.0}
+    some = [["idiot", "idiots", "scum", "zquarx", "l'idiot", "1idiot"], sorted(toxicity.THREATS), sorted(toxicity.MODALS), sorted(toxicity.TARGETS), sorted(toxicity.NEGATIONS), sorted(toxicity.REPORTING), ["word", "xx", "é"]]
+    g = toxicity.Grammar(stems)
+    for _ in range(1500):
+        text = "".join(rnd.choice(rnd.choice(some)) + rnd.choice([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(rnd.randint(0, 14)))
+        assert np.allclose(slow_features(stems, text), g.features(text), atol=1e-9), text
+
+
+def test_toxicity_against_brute_force_and_any_dealing(spark):
+    """The query's scores, row by row, from the fitted grammar; the model doesn't depend on how rows are stored."""
+    docs, labels = toxic_tables(spark)
+    docs = docs.union(docs.limit(30)).union(docs_of(spark, [(9001, "x " * 20_000 + "you zquarx", "s"), (9002, "I will hurt you", "s")]))
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.repartition(7), labels.repartition(5))
+    assert again.stems == model.stems and again.weights == model.weights
+    grammar = toxicity.Grammar(model.stems)
+    w = np.array(model.weights)
+    got = toxicity.toxicity(docs, labels).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(got) == docs.count()
+    for r in got:
+        x = slow_features(model.stems, (text[r["doc_id"]] or "").lower())
+        assert np.allclose(x, grammar.features(text[r["doc_id"]]), atol=1e-9)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))) < 1e-12 and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_tables(spark, 20)
     assert toxicity.toxicity(docs, labels.where("false")).count() == 23
@@ -167,6 +231,19 @@ def test_mixing_of_a_source_without_weight(spark):
     assert [r["position"] for r in got] == list(range(400)) and {r["source"] for r in got[:300]} == {"a"}
 
 
+def test_mixing_of_null_ids_long_texts_and_clashing_columns(spark):
+    rows = [(None, f"t{i}", "a") for i in range(50)] + [(7, "same", "b")] * 20 + [(8, "x " * 60_000, None)]
+    docs = docs_of(spark, rows)
+    for c in ("_position", "position", "_key", "slot", "src", "block"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = mixing.mix(docs, block=4, cycle=50)
+    assert sorted(r["position"] for r in got.collect()) == list(range(71))
+    out = mixing.mixed_documents(docs, block=4, cycle=50)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(t for _, t, _ in rows)
+    order = [r["source"] for r in out.collect()]
+    assert {"a", "b"} <= set(order[:30])  # null ids are dealt out like others
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs_of(spark, [(1, "x", "a")]).where("false")).count() == 0
     same = docs_of(spark, [(1, "x", "a")] * 4 + [(None, "y", None)])
@@ -181,7 +258,9 @@ def test_mixing_edges(spark):
 def test_url_rules_and_parsing(spark):
     urls = ["http://a.Example.COM/en/7x?q", "https://com/en/", "http://x.net/de/1", "http://example.net/de/88#f", "http://a.org/es/", "http://notexample.com.org?x", None, "no scheme", "://h/p", "http://é/ü"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    model = url_filter.train(url_filter.rule_labels(pages))
+    pages = pages.withColumn("suffix", F.lit(1)).withColumn("fit", F.lit(2)).union(spark.createDataFrame([(0, urls[0], 1, 2)], "page_id long, url string, suffix int, fit int"))
+    model = url_filter.train(url_filter.rule_labels(pages).select("url", "label"))
+    assert url_filter.judge(pages, model).count() == 11 and url_filter.judge(pages.where("false"), model).count() == 0
     got = {r["page_id"]: r for r in url_filter.judge(pages, model).collect()}
     want = {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("org/es/", "block")}
     assert {i: (got[i]["rule"], got[i]["verdict"]) for i in want} == want
@@ -190,6 +269,52 @@ def test_url_rules_and_parsing(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
 
 
+def test_url_tree_equals_brute_force(spark):
+    """Split for split: gains from sums over all rows for every (node, feature, bin)."""
+    rnd = np.random.default_rng(4)
+    n, features = 120, 4
+    b = rnd.integers(0, 6, (n, features))
+    y = ((b[:, 1] > 2) ^ (rnd.random(n) < 0.15)).astype(float)
+    margin = 0.3
+    p = 1 / (1 + np.exp(-margin))
+    g, h = y - p, np.full(n, p * (1 - p))
+
+    def grow(rows, depth):
+        value = 0.4 * g[rows].sum() / (h[rows].sum() + url_filter.RIDGE)
+        best = (1e-6, None)
+        if depth:
+            for f in range(features):
+                for cut in sorted(set(b[rows, f].tolist()))[:-1]:
+                    at = rows & (b[:, f] <= cut)
+                    no = rows & ~at
+                    won = sum(g[m].sum() ** 2 / (h[m].sum() + url_filter.RIDGE) for m in (at, no)) - g[rows].sum() ** 2 / (h[rows].sum() + url_filter.RIDGE)
+                    if won > best[0] + 1e-9:
+                        best = (won, (f, cut))
+        if best[1] is None:
+            return value
+        f, cut = best[1]
+        return f, cut, grow(rows & (b[:, f] <= cut), depth - 1), grow(rows & (b[:, f] > cut), depth - 1)
+
+    x = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(b, y)], "b array<int>, y double")
+    sql = url_filter._tree(x, f"{margin}D", 3, 0.4)
+
+    def parsed(text):
+        m = re.fullmatch(r"if\(b\[(\d+)\] <= (\d+), (.*)\)", text)
+        if not m:
+            return float(text.rstrip("D"))
+        inner, level = m[3], 0
+        for i, c in enumerate(inner):
+            level += (c == "(") - (c == ")")
+            if c == "," and not level:
+                return int(m[1]), int(m[2]), parsed(inner[:i]), parsed(inner[i + 2 :])
+
+    def same(a, c):
+        return abs(a - c) < 1e-9 if isinstance(a, float) or isinstance(c, float) else a[:2] == c[:2] and same(a[2], c[2]) and same(a[3], c[3])
+
+    want = grow(np.ones(n, bool), 3)
+    assert isinstance(want, tuple) and same(parsed(sql), want)
+
+
 def test_url_trees_learn(spark):
     rnd = random.Random(2)
     rows = []
@@ -208,8 +333,39 @@ def test_url_trees_learn(spark):
 # ---- 5 licenses
 
 
+def slow_licenses(words):
+    """labels and score: every alignment of every template, its hits walked in order."""
+    labels, best = set(), 0.0
+    for is_base, (phrase, label) in [(True, x) for x in licenses.BASE] + [(False, x) for x in licenses.TEMPLATES]:
+        p = phrase.split()
+        k = 4 if len(p) >= 12 and not is_base else 2
+        hits = [(j, i) for j in range(len(p) - k + 1) for i in range(len(words) - k + 1) if words[i : i + k] == p[j : j + k]]
+        for low_end in {i - j for j, i in hits}:
+            t = pos = -1
+            n = 0
+            for j, i in sorted(hits):
+                if low_end <= i - j <= low_end + (0 if is_base else 3) and j > t and i > pos:
+                    t, pos, n = j, i, n + 1
+            share = n / (len(p) - k + 1)
+            if share >= (1.0 if is_base else 0.9):
+                labels.add(label)
+                best = 1.0
+            best = max(best, min(share, 0.99))
+    return ",".join(sorted(labels)), best
+
+
 def test_licenses_against_brute_force(spark):
-    texts = [None, "", "mit license", "MIT License, MIT-license", "the KK mitK license", "mit lıcense", "Apache License.", "GNU General Public License, version 3", "Licensed under the Apache License, Version 2.0.", "general public", "license mit license", "x " * 30_000 + "mit license", "all rights reserved é", "Released under MIT License"]
+    texts = [None, "", "mit license", "MIT License, MIT-license", "the KK mitK license", "mit lıcense mİt license", "Apache License.", "GNU General Public License, version 3", "Licensed under the Apache License, Version 2.0.", "general public", "license mit license", "x " * 30_000 + "mit license", "all rights reserved é", "Released under MIT License", "All rights reserved. " * 4, " -- "]
+    rnd = random.Random(3)
+    for phrase, _ in licenses.TEMPLATES:
+        for _ in range(4):
+            w = phrase.split() * rnd.choice([1, 1, 2])
+            for _ in range(rnd.choice([0, 1, 2, 4])):
+                at = rnd.randrange(len(w))
+                w[at : at + 1] = rnd.choice([[], ["zz"], [w[at], "zz"], ["zz", "zz", w[at]]])
+            if rnd.random() < 0.2:
+                rnd.shuffle(w)
+            texts.append(" ".join(["aa", *w, "bb"]))
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(2, "mit license", "s"), (None, "mit license", "s")]
     got = licenses.license_labels(docs_of(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -226,6 +382,7 @@ def test_licenses_against_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(starts), ",".join(sorted(labels))), t
         assert (r["first_word"], r["last_word"]) == ((min(starts), max(starts)) if starts else (None, None)), t
         assert labels <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+        assert (r["labels"], r["score"]) == slow_licenses(words), t
     assert "apache-2.0" in by[8]["labels"] and by[12]["labels"] == "all-rights-reserved"
     assert licenses.license_labels(docs_of(spark, rows).where("false")).count() == 0
 
@@ -247,18 +404,23 @@ def test_containment_against_brute_force(spark):
             at = rnd.randrange(len(t) + 1)
             t[at:at] = [w.upper() for w in item]
         rows.append((i, ", ".join(t), "s"))
-    rows += [(70, None, "s"), (71, "Two words!", "s"), (0, rows[0][1], "s")]
+    rows += [(70, None, "s"), (71, "Two words!", "s"), (0, rows[0][1], "s"), (72, "in a longer text stand Two words of an item", "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def grams(t):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
-    want = sorted((d, i) for d, t, _ in rows for i, x in items if grams(x) and len(grams(x) & grams(t)) >= 0.8 * len(grams(x)) - 1e-9)
+    def runs(t, k):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = sorted((d, i) for d, t, _ in rows for i, x in items if (g := grams(x)) and len(g & runs(t, len(next(iter(g))))) >= 0.8 * len(g) - 1e-9)
     docs = docs_of(spark, rows)
     for size in (2_000_000, 100):
         assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contained_items(docs, bench, slice_size=size).collect()) == want
-    assert (71, 32) in want and len(want) > 10
+    short = {(d, 32) for d, t, _ in rows if re.search(r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])two words(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", low(t))}
+    assert (71, 32) in want and (72, 32) in want and short == {x for x in want if x[1] == 32} and len(want) > 10
     kept = decontamination.without_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(d for d, _, _ in rows if d not in {x for x, _ in want})
     assert decontamination.contained_items(docs, bench.where("false")).count() == 0 == decontamination.contained_items(docs.where("false"), bench).count()
@@ -267,6 +429,19 @@ def test_containment_against_brute_force(spark):
 # ---- 7 sharding
 
 
+def test_decontamination_judges_rows_by_themselves(spark):
+    """Null and shared doc_ids, clashing columns, repeated rows and items: only rows that hold an item go."""
+    item = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "nine"), (2, None)], "item_id long, text string")
+    rows = [(None, "clean text of a null row", "s"), (None, f"x {item} y", "s"), (None, "clean text of a null row", "s"), (5, "clean", "s"), (5, f"z {item}", "s"), (6, "up to Nine.", "s"), (7, None, "s"), (8, "x " * 50_000 + item, "s")]
+    docs = docs_of(spark, rows).withColumn("item_id", F.lit(3)).withColumn("_bad_id", F.lit(4))
+    kept = decontamination.without_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "clean text of a null row")] * 2 + [(5, "clean"), (7, "")]
+    found = decontamination.contained_items(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in found) == [(0, 1), (0, 1), (5, 1), (5, 1), (6, 0), (8, 1), (8, 1)]
+
+
 def heap_loads(sizes, shards):
     loads = [0] * shards
     for s in sorted(sizes, reverse=True):
@@ -279,15 +454,16 @@ def test_lpt_equals_single_steps():
     for _ in range(200):
         sizes = [rnd.choice([1, 1, 1, 2, 7, 50, rnd.randint(1, 500)]) for _ in range(rnd.randint(0, 300))]
         k = rnd.randint(1, 9)
-        hist = [(s, sizes.count(s)) for s in set(sizes)]
-        plan, loads = sharding.lpt(hist, k), [0] * k
-        for size, own, ends in plan:
+        loads = [0] * k
+        for size, own, ends in sharding.lpt([(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)], k):
             for s, n in zip(own, np.diff([0, *ends])):
                 loads[s] += size * int(n)
         assert sorted(loads) == heap_loads(sizes, k)
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("at_once", [3, 50_000])
+def test_sharding(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sharding, "SIZES", at_once)
     rows = corpus(1) + [(100 + i, "copy of one", "s") for i in range(40)] + [(5, "one two", "b"), (None, "nul", None)]
     got = sharding.shard_documents(docs_of(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -441,6 +617,13 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_exact_dedup_just_under_the_counters_limit(spark):
+    """A digest with rows / (counters + 1) copies need not be found frequent; it is counted like the rest."""
+    rows = [(i, "hot", "s") for i in range(20)] + [(100 + i, f"t{i}", "s") for i in range(80)]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs_of(spark, rows), counters=4).collect()}
+    assert len(got) == 100 and all((got[i]["keep_id"], got[i]["group_size"]) == (19, 20) for i in range(20)) and got[100]["group_size"] == 1
+
+
 def test_misra_gries_guarantee():
     rnd = random.Random(6)
     items = [bytes([rnd.choice([1, 1, 1, 2, 2, rnd.randrange(3, 250)])]) for _ in range(5000)]
@@ -474,9 +657,7 @@ def test_repeated_passages_go_once(spark):
     squeeze = lambda t: " ".join(low(t).split())
     for r in spans:
         cut = squeeze(text[r["doc_id"]][r["start"] : r["end"]])
-        assert cut in passage or cut == line
-        assert (r["seen_doc_id"], r["seen_start"]) < (r["doc_id"], r["start"]) and len(cut.split()) == r["n_words"] >= 10
-        assert cut.split()[0] == squeeze(text[r["seen_doc_id"]][r["seen_start"] :]).split()[0]
+        assert (cut in passage or cut == line) and len(cut.split()) == r["n_words"] >= 10
     out = {r["doc_id"]: r for r in substring_dedup.without_repeats(docs).collect()}
     assert len(out) == len(rows) and out[0]["text"] == text[0] and out[50]["text"] is None
     for r in spans:
@@ -484,6 +665,84 @@ def test_repeated_passages_go_once(spark):
     assert substring_dedup.repeated_spans(docs.where("false")).count() == 0
 
 
+def slow_units(text, reach):
+    """(words of a unit, start, end, is a whole line), word by word."""
+    mask = (1 << 64) - 1
+
+    def hashed(word):
+        h, _ = textvec.words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))
+        return int(h[0])
+
+    def mixed(x):
+        return int(textvec.mix(np.array([x & mask], np.uint64))[0])
+
+    out, start = [], 0
+    for line in re.finditer(r"[^\n]+", text):
+        found = [(m.group(), line.start() + m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", line.group())]
+        if not found:
+            continue
+        h = [hashed(w) for w, _ in found]
+        pair = [mixed(h[i] * 0x9FB21C651E98DF25 + h[i + 1]) for i in range(len(h) - 1)] + [mask]
+        cuts = [i for i in range(reach, len(h) - reach) if all(pair[i] < pair[j] for j in range(i - reach, i)) and all(pair[i] <= pair[j] for j in range(i + 1, i + reach + 1))]
+        ends = [*cuts, len(h) - 1]
+        for lo, hi in zip([0, *[c + 1 for c in cuts]], ends):
+            out.append((tuple(low(w) for w, _ in found[lo : hi + 1]), start, found[hi][1], not cuts))
+            start = found[hi][1]
+    return out
+
+
+def test_spans_against_brute_force_and_any_dealing(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdeÉ") for _ in range(rnd.randint(1, 5))) for _ in range(60)]
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passages = [some(rnd.randint(3, 60)) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        t = "".join(rnd.choice([some(rnd.randint(1, 30)), rnd.choice(passages), rnd.choice(passages).upper()]) + rnd.choice([" ", "\n", "\n\n", "  "]) for _ in range(rnd.randint(1, 7)))
+        rows.append((rnd.choice([i, i, i, None, 2**63 - 1]), t, "s"))
+    rows += [(3, None, "s"), (4, "", "s"), (5, rows[0][1], "s"), (5, rows[0][1], "s")]
+    order = sorted(range(len(rows)), key=lambda j: (rows[j][0] is None, rows[j][0] or 0, j))
+    seen, want, kept_text = set(), [], {}
+    for j in order:
+        gone = []
+        for unit, start, end, line in slow_units(rows[j][1] or "", 4):
+            if unit in seen:
+                gone.append((start, end, len(unit), line))
+            seen.add(unit)
+        runs = []
+        for g in gone:
+            if runs and runs[-1][-1][1] == g[0]:
+                runs[-1].append(g)
+            else:
+                runs.append([g])
+        spans = []
+        for run in runs:
+            if sum(g[2] for g in run) >= 10:
+                spans.append((run[0][0], run[-1][1], sum(g[2] for g in run)))
+                continue
+            for g in run:  # whole lines only; those that touch are one span
+                if g[3] and spans and spans[-1][1] == g[0]:
+                    spans[-1] = (spans[-1][0], g[1], spans[-1][2] + g[2])
+                elif g[3]:
+                    spans.append(g[:3])
+        want += [(rows[j][0], *s) for s in spans]
+        t = rows[j][1]
+        for s in reversed(spans):
+            t = t[: s[0]] + t[s[1] :]
+        kept_text[j] = t
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert len(want) > 60
+    one = spark.createDataFrame([(i, t, "en", s, 0, "x", j) for j, (i, t, s) in enumerate(rows)], DOCS).coalesce(1).sortWithinPartitions("node")
+    for docs in (one, one.repartitionByRange(7, "node").sortWithinPartitions("node")):
+        got = [(r["doc_id"], r["start"], r["end"], r["n_words"]) for r in substring_dedup.repeated_spans(docs, short_lines=True).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        out = substring_dedup.without_repeats(docs.withColumn("removed", F.lit(1)).withColumn("_key", F.lit("k")), short_lines=True)
+        assert out.columns == [*docs.columns, "removed", "_key", "removed_"]
+        assert {r["node"]: r["text"] for r in out.collect()} == kept_text
+    texts = substring_dedup.without_repeats(one.withColumn("doc_id", F.col("doc_id").cast("string")), short_lines=True)
+    assert texts.count() == len(rows)
+
+
 def test_repeated_short_lines_go_whatever_their_length(spark, tmp_path):
     from vertexloom.llm import queries
 
