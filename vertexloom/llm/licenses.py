@@ -75,8 +75,8 @@ def _found(docs: DataFrame, base: list, templates: list) -> DataFrame:
     out = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, BETWEEN)).alias("w"))
     every = []
     for k in sorted({r[0] for r in rows}):
-        known = spark.createDataFrame([(g,) for g in sorted({r[1] for r in rows if r[0] == k})], "g string")
-        hashes = ", ".join(f"{r[0]}L" for r in known.selectExpr(f"xxhash64({', '.join(f'split(g, " ")[{i}]' for i in range(k))}) AS h").distinct().orderBy("h").collect())
+        known = spark.sql(f"SELECT DISTINCT xxhash64({', '.join(f'w{i}' for i in range(k))}) AS h FROM VALUES " + ", ".join("('" + "', '".join(r[1].split(" ")) + "')" for r in rows if r[0] == k) + f" AS t({', '.join(f'w{i}' for i in range(k))}) ORDER BY h")
+        hashes = ", ".join(f"{r[0]}L" for r in known.collect())
         at = f"filter(if(size(w) < {k}, cast(array() as array<int>), sequence(0, size(w) - {k})), i -> xxhash64({', '.join(f'w[i + {i}]' if i else 'w[i]' for i in range(k))}) IN ({hashes}))"
         every.append(f"transform({at}, i -> named_struct('k', {k}, 'pos', i, 'gram', array_join(slice(w, i + 1, {k}), ' ')))")
     grams = f"concat({', '.join(every)})" if every else "cast(array() as array<struct<k:int,pos:int,gram:string>>)"
@@ -86,8 +86,9 @@ def _found(docs: DataFrame, base: list, templates: list) -> DataFrame:
 def _spans(found: DataFrame, base: list, templates: list, slack: int, coverage: float) -> DataFrame:
     spark = found.sparkSession
     rows = _grams(base, templates)
-    schema = "t_k int, t_gram string, phrase string, label string, is_base boolean, t_grams int, t_pos int"
-    table = F.broadcast(spark.createDataFrame(rows, schema).withColumn("t_hash", F.xxhash64("t_gram")))  # the fixed list
+    values = ", ".join(f"({k}, '{gram}', '{phrase}', '{label}', {str(is_base).lower()}, {n}, {at})" for k, gram, phrase, label, is_base, n, at in rows)
+    table = spark.sql(f"SELECT *, xxhash64(t_gram) AS t_hash FROM VALUES {values} AS t(t_k, t_gram, phrase, label, is_base, t_grams, t_pos)")
+    table = F.broadcast(table)  # the fixed list
     rolled = found.select("key", "doc_id", F.explode("grams").alias("g")).select("key", "doc_id", "g.*")
     hits = rolled.join(table, (F.xxhash64("gram") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")) & (F.col("k") == F.col("t_k")))
     place = ["key", "doc_id", "phrase", "label", "is_base"]
