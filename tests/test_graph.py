@@ -108,3 +108,78 @@ def test_empty_graph(spark):
     empty = Graph(empty.vertices, empty.multi.where(F.lit(False)))
     assert column(alg.labels(empty).state, "min_id") == [0]
     assert alg.triangle_total(empty).first()[0] == 0
+
+
+def test_rows_are_dealt_greedily(spark):
+    sizes = spark.createDataFrame([(0, p, s) for p, s in enumerate([3, 9, 1, 1, 10, 2])], "col long, pid long, size long")
+    got = {r["pid"]: r["row"] for r in partitioning.row_allocation_greedy(sizes, 3).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2}  # the mean is 26 / 3; 3 + 9 and 1 + 1 + 10 reach it
+
+
+def test_bloom_misses_no_partition(spark):
+    from vertexloom.operators import sketch
+
+    edges = spark.range(4000).selectExpr("id % 8 AS pid", "id AS src")
+    small = sketch.bloom_index(edges, expected=500, fpp=0.05)
+    ask = spark.createDataFrame([(17,), (170,)], "id long")
+    exact = {r[0] for r in partitioning.active_partitions(partitioning.partition_source_index(edges), ask).collect()}
+    got = {r[0] for r in sketch.bloom_active(small, ask, expected=500, fpp=0.05).collect()}
+    assert exact == {1, 2} and exact <= got
+    strangers = spark.range(10_000, 11_000)
+    alone = small.where("pid = 0")
+    bits = {r["word"]: r["bits"] for r in sketch.bloom_union(alone).collect()}
+    assert bits == {r["word"]: r["bits"] for r in alone.collect()}
+    size, hashes = sketch.bloom_size(500, 0.05)
+    asked = strangers.select("id", F.array_distinct(sketch._places("id", size, hashes)).alias("p")).collect()
+    wrong = sum(all(bits.get(x // 64, 0) >> (x % 64) & 1 for x in r["p"]) for r in asked)
+    assert wrong < 100  # 5 in 100 are expected
+    assert sketch.bloom_size(1000, 0.01) == (9586, 7)
+
+
+def test_selective_by_bloom_agrees(graph):
+    from vertexloom.plans.program import EngineConfig, run
+
+    got = run(graph, alg.label_program(), EngineConfig(max_iter=100, mode="selective", index="bloom", partitions=3, selective_below=1.0))
+    assert column(got.state, "min_id") == [0, 0, 0, 0, 0, 5, 5, 7, 8]
+
+
+def test_hooks_and_report(graph):
+    from vertexloom.plans.program import EngineConfig, VertexProgram, run
+
+    seen = []
+    base = alg.label_program()
+    program = VertexProgram(
+        base.init, base.gather, base.combine, base.apply, True,
+        before_step=lambda state, step: state.withColumn("min_id", F.least("min_id", F.lit(7)).cast("long")) if step == 1 else state,
+        after_step=lambda state, step: seen.append((step, state.count())) or step < 2,
+    )
+    got = run(graph, program, EngineConfig(max_iter=9))
+    assert seen == [(1, 9), (2, 9)] and len(got.metrics) == 2
+    assert column(got.state, "min_id")[7:] == [7, 7]
+    rows = got.report().collect()
+    assert [r["messages"] for r in rows] == [10, 10]  # distinct edges
+    assert all(r["seconds"] > 0 for r in rows)
+
+
+@pytest.mark.parametrize("below", [0.2, 1.0])
+def test_frontier_sends_less(graph, below):
+    from vertexloom.plans.program import EngineConfig, run
+
+    got = run(graph, alg.label_program(), EngineConfig(max_iter=100, mode="frontier", sparse_below=below))
+    assert column(got.state, "min_id") == [0, 0, 0, 0, 0, 5, 5, 7, 8]
+    changed = [1.0] + [m[2] for m in got.metrics[:-1]]
+    assert got.messages[0] == 10
+    assert all((n == 10) if c >= below else (n < 10) for c, n in zip(changed[1:], got.messages[1:]))
+
+
+def test_lists_in_windows(graph):
+    dealt = partitioning.edge_windows(partitioning.partitioned_edges(graph, 3), 2)
+    whole = sorted((r["src"], r["dst"], tuple(r["msg"])) for r in messages.list_messages(graph).collect())
+    last = dealt.agg(F.max("window")).first()[0]
+    parts = [messages.list_messages(graph, dealt.where(F.col("window") == w)).collect() for w in range(last + 1)]
+    assert sorted((r["src"], r["dst"], tuple(r["msg"])) for p in parts for r in p) == whole and last > 0
+
+
+def test_replication_mean(spark):
+    ratios = spark.createDataFrame([(0, 0.5, 0.25), (1, 0.25, 0.75)], "col long, need_ratio double, update_ratio double")
+    assert tuple(partitioning.replication_mean(ratios).first()) == (0.375, 0.5)

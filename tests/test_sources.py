@@ -57,3 +57,44 @@ def test_streamed_degrees(spark, tmp_path):
     q.awaitTermination()
     got = {r[0]: r[1:] for r in incremental.degrees_at(spark, str(tmp_path / "state"), 1).collect()}
     assert got[2] == (2, 2) and got[6] == (1, 2)
+
+
+@pytest.mark.parametrize("chunk", [64, 100, 1 << 20])
+def test_vectors_in_ranges(spark, tmp_path, chunk):
+    long = np.arange(500, dtype=np.int64) * 3
+    (tmp_path / "a.npy").write_bytes(binary.npy(long))
+    got = binary.read_vector(spark, str(tmp_path), chunk=chunk).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(i, float(v)) for i, v in enumerate(long)]
+    (tmp_path / "b.raw").write_bytes(np.arange(7, dtype="<i4").tobytes() + b"x")  # a torn last word
+    assert [r[1] for r in binary.read_vector(spark, str(tmp_path), "*.raw", chunk=chunk).orderBy("id").collect()] == list(range(7))
+
+
+def test_edges_in_folders(spark, graph, tmp_path):
+    path = str(tmp_path / "e")
+    whole = partitioning.partitioned_edges(graph, 3)
+    edge_list.write_partitions(whole, path)
+    own = edge_list.read_partitions(spark, path).where("pid = 1")
+    assert pairs(own) == pairs(whole.where("pid = 1"))
+    assert "PartitionFilters: [isnotnull(pid" in own._jdf.queryExecution().explainString(own._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_degrees_and_words(spark, graph, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vertexloom.functions import scalars
+
+    edge_list.write_degrees(graph.in_degrees(multi=True), str(tmp_path / "d"))
+    lines = spark.read.text(str(tmp_path / "d")).collect()
+    assert sorted(r[0] for r in lines)[:2] == ["0\t1", "1\t2"]
+    row = spark.range(1).select(scalars.word_list(F.lit("12 it's, 7")), scalars.part_name(F.lit(42))).first()
+    assert row[0] == ["12", "it's", "7"] and row[1] == "part-00042"
+
+
+def test_streamed_components(spark, tmp_path):
+    from vertexloom.streaming import incremental
+
+    for i, part in enumerate([[(1, 2), (5, 6)], [(2, 5), (8, 9)]]):
+        spark.createDataFrame(part, "src long, dst long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.maintain_components(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
+    got = {r[0]: r[1] for r in incremental.components_at(spark, str(tmp_path / "state"), 1).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}

@@ -23,6 +23,11 @@ def parse_edge(line: Column) -> tuple[Column, Column]:
     return parts[0].try_cast("long"), F.try_element_at(parts, F.lit(2)).try_cast("long")
 
 
+def word_list(line: Column) -> Column:
+    """All runs of word characters and apostrophes."""
+    return F.regexp_extract_all(line, F.lit(r"([\w']+)"))
+
+
 def part_name(n: Column, width: int = 5) -> Column:
     return F.concat(F.lit("part-"), F.lpad(n.cast("string"), width, "0"))
 

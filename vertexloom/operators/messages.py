@@ -34,6 +34,10 @@ def encoding(step: DataFrame, pid: DataFrame, below: float = SPARSE_BELOW) -> Da
     return share.select("pid", "changed", F.when(F.col("changed") < below * F.col("n"), "sparse").otherwise("dense").alias("encoding"))
 
 
-def list_messages(graph) -> DataFrame:
-    """Every vertex sends the list of its in-neighbours along its out-edges: src, dst, msg (array of ids)."""
-    return graph.edges.join(graph.in_lists().select(F.col("id").alias("src"), F.col("neighbors").alias("msg")), "src", "left").select("src", "dst", F.coalesce("msg", F.array().cast("array<bigint>")).alias("msg"))
+def list_messages(graph, edges: DataFrame | None = None) -> DataFrame:
+    """Every vertex sends the list of its in-neighbours along its out-edges: src, dst, msg (array of ids).
+
+    All lists together have a length for every pair of an in-edge and an out-edge; ``edges``, such as one of
+    ``edge_windows``, are those that a step sends along, which bounds it.
+    """
+    return (graph.edges if edges is None else edges.select("src", "dst")).join(graph.in_lists().select(F.col("id").alias("src"), F.col("neighbors").alias("msg")), "src", "left").select("src", "dst", F.coalesce("msg", F.array().cast("array<bigint>")).alias("msg"))

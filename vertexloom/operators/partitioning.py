@@ -67,11 +67,6 @@ def partition_source_index(edges: DataFrame) -> DataFrame:
     return edges.select("pid", "src").distinct()
 
 
-def source_bloom(edges: DataFrame, expected: int = 1_000_000, fpp: float = 0.01):
-    """A JVM Bloom filter of the sources of ``edges``: for one partition's slice where the exact index is too large."""
-    return edges._jdf.stat().bloomFilter("src", expected, fpp)
-
-
 def active_partitions(index: DataFrame, active: DataFrame) -> DataFrame:
     """Partitions with at least one active source. ``active``: id."""
     return index.join(active.select(F.col("id").alias("src")), "src", "left_semi").select("pid").distinct()
@@ -93,6 +88,28 @@ def row_allocation(sizes: DataFrame, rows: int) -> DataFrame:
     return sizes.select("col", "pid", "size", F.least(F.lit(rows - 1), F.floor(F.coalesce(F.sum("size").over(up), F.lit(0)) * rows / F.sum("size").over(total))).cast("long").alias("row"))
 
 
+def row_allocation_greedy(sizes: DataFrame, rows: int) -> DataFrame:
+    """col, pid, row: as ``row_allocation``, but sizes are summed anew for each row.
+
+    The partition with which the sum reaches the column's mean per row opens the next row, whose sum starts at 0 all
+    the same. The list of a column's partitions (thousands, not edges) is folded as one array.
+    """
+    all_of = sizes.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("pid", "size"))).alias("_all"), (F.sum("size") / rows).alias("_mean"))
+
+    def deal(acc: Column, one: Column) -> Column:
+        full = acc["got"] + one["size"] >= acc["mean"]
+        row = F.when(full, F.least(acc["row"] + 1, F.lit(rows - 1))).otherwise(acc["row"]).cast("long").alias("row")
+        return F.struct(
+            acc["mean"].alias("mean"),
+            F.when(full, F.lit(0)).otherwise(acc["got"] + one["size"]).cast("double").alias("got"),
+            row,
+            F.concat(acc["dealt"], F.array(F.struct(one["pid"].cast("long").alias("pid"), row))).alias("dealt"),
+        )
+
+    start = F.struct(F.col("_mean").cast("double").alias("mean"), F.lit(0.0).alias("got"), F.lit(0).cast("long").alias("row"), F.expr("cast(array() as array<struct<pid: bigint, row: bigint>>)").alias("dealt"))
+    return all_of.select("col", F.explode(F.aggregate("_all", start, deal)["dealt"]).alias("_d")).select("col", "_d.pid", "_d.row")
+
+
 def edge_windows(edges: DataFrame, width: int) -> DataFrame:
     """Windows of ``width`` edges within a partition, in (dst, src) order: pid, src, dst, window."""
     rn = F.row_number().over(Window.partitionBy("pid").orderBy("dst", "src"))
@@ -103,3 +120,8 @@ def replication_ratio(edges: DataFrame, n: int, columns: int) -> DataFrame:
     """For each column of sources: the share of vertices it must hold, and of those it sends to."""
     by = edges.withColumn("col", column_of(F.col("src"), n, columns))
     return by.groupBy("col").agg((F.count_distinct("src") / n).alias("need_ratio"), (F.count_distinct("dst") / n).alias("update_ratio"))
+
+
+def replication_mean(ratios: DataFrame) -> DataFrame:
+    """The means of ``replication_ratio`` over its columns."""
+    return ratios.agg(F.avg("need_ratio").alias("need_ratio"), F.avg("update_ratio").alias("update_ratio"))

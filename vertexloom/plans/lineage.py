@@ -29,16 +29,20 @@ class Kept:
         self.number = 0
         atexit.register(self._delete, self.folder)
 
-    def put(self, df: DataFrame) -> tuple[DataFrame, int, int]:
-        """Write ``df`` (with a boolean ``changed``); the written copy, its changed rows and all its rows, in one job."""
-        seen = Observation()
-        counted = df.observe(seen, F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0)).alias("changed"), F.count(F.lit(1)).alias("n"))
+    def put(self, df: DataFrame, tally: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """Write ``df`` (with a boolean ``changed``); the written copy and, from the same job, ``changed`` rows and all ``n`` rows.
+
+        ``tally``: a column that is summed under its name and not written.
+        """
+        seen, more = Observation(), [F.sum(tally).alias(tally)] if tally else []
+        counted = df.observe(seen, F.sum(F.col("changed").cast("long")).alias("changed"), F.count(F.lit(1)).alias("n"), *more)
+        counted = counted.drop(tally) if tally else counted
         counted.write.parquet(f"{self.folder}/{self.number}")
-        out = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.number}")
+        out = self.spark.read.schema(counted.schema).parquet(f"{self.folder}/{self.number}")
         if self.number:
             self._delete(f"{self.folder}/{self.number - 1}")
         self.number += 1
-        return out, seen.get["changed"], seen.get["n"]
+        return out, {k: v or 0 for k, v in seen.get.items()}
 
     def _delete(self, path: str) -> None:
         try:

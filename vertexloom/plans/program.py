@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.partitioning import active_partitions, partition_assign, partition_source_index
+from vertexloom.operators.sketch import bloom_active, bloom_index
 
 from .graph import Graph
 from .lineage import Kept
@@ -27,6 +28,9 @@ class VertexProgram:
     and the source's ``out_degree`` (at least 1). combine: an aggregate for each message. apply: new state
     over the old one and the combined messages, null where none came. ``monotone``: applying a message
     twice changes nothing and missing unchanged messages changes nothing (min, max), so frontiers are allowed.
+    ``before_step`` gets the state (id, state columns, ``changed``) and the step's number and returns the state the
+    step starts from, with the same rows and columns. ``after_step`` gets the new state and the number; a run ends
+    when it returns False.
     """
 
     init: dict[str, Column]
@@ -34,6 +38,8 @@ class VertexProgram:
     combine: dict[str, Callable[[Column], Column]]
     apply: dict[str, Column]
     monotone: bool = False
+    before_step: Callable[[DataFrame, int], DataFrame] | None = None
+    after_step: Callable[[DataFrame, int], bool | None] | None = None
 
 
 @dataclass
@@ -46,6 +52,11 @@ class EngineConfig:
     #: source, once fewer than ``selective_below`` of the vertices changed. async: blocks of vertices in turn.
     mode: str = "sync"
     selective_below: float = 0.5
+    #: A frontier step sends the changed sources' values only while less than this share of the vertices changed,
+    #: and all values beyond it.
+    sparse_below: float = 1.0
+    #: How selective runs know the sources of a partition: exactly, or by a Bloom filter (which may keep too many).
+    index: str = "exact"
     partitions: int = 8
     blocks: int = 2
 
@@ -55,9 +66,16 @@ class Result:
     state: DataFrame
     #: (step, changed vertices, their share); the last row of a converged run has none changed.
     metrics: list[tuple[int, int, float]] = field(default_factory=list)
+    #: Messages that each step sent along edges, before they were combined.
+    messages: list[int] = field(default_factory=list)
     #: Wall-clock seconds of each step, the state's count included.
     seconds: list[float] = field(default_factory=list)
 
+    def report(self) -> DataFrame:
+        """step, changed, ratio, messages, seconds: a row for each step."""
+        rows = [(*m, n, s) for m, n, s in zip(self.metrics, self.messages, self.seconds)]
+        return self.state.sparkSession.createDataFrame(rows, "step int, changed long, ratio double, messages long, seconds double")
+
 
 def _moved(program: VertexProgram, tol: float) -> Column:
     out = F.lit(False)
@@ -67,16 +85,15 @@ def _moved(program: VertexProgram, tol: float) -> Column:
     return out
 
 
-def _step(vertices: DataFrame, edges: DataFrame, program: VertexProgram, tol: float, only: Column | None = None) -> DataFrame:
-    """One update: ``vertices`` with state, joined to ``edges`` (src, dst, out_degree). ``only``: vertices that may change."""
+def _step(vertices: DataFrame, edges: DataFrame, program: VertexProgram, tol: float, senders: DataFrame | None = None) -> DataFrame:
+    """One update: ``vertices`` with state, joined to ``edges`` (src, dst, out_degree). ``senders``: the vertices that send, if not all."""
     state = list(program.init)
-    sent = edges.join(vertices.withColumnRenamed("id", "src").select("src", *state), "src")
+    sent = edges.join((vertices if senders is None else senders).withColumnRenamed("id", "src").select("src", *state), "src")
     messages = sent.select(F.col("dst").alias("id"), *[c.alias(f"_m_{k}") for k, c in program.gather.items()])
-    got = messages.groupBy("id").agg(*[f(F.col(f"_m_{k}")).alias(k) for k, f in program.combine.items()])
+    got = messages.groupBy("id").agg(F.count(F.lit(1)).alias("messages"), *[f(F.col(f"_m_{k}")).alias(k) for k, f in program.combine.items()])
     both = vertices.select("id", *state).join(got, "id", "left")
-    may = F.lit(True) if only is None else only
-    new = both.select("id", *state, *[F.when(may, c).otherwise(F.col(k)).alias(f"new_{k}") for k, c in program.apply.items()])
-    return new.select("id", *[F.col(f"new_{k}").alias(k) if k in program.apply else F.col(k) for k in state], _moved(program, tol).alias("changed"))
+    new = both.select("id", *state, F.coalesce("messages", F.lit(0)).alias("messages"), *[c.alias(f"new_{k}") for k, c in program.apply.items()])
+    return new.select("id", *[F.col(f"new_{k}").alias(k) if k in program.apply else F.col(k) for k in state], _moved(program, tol).alias("changed"), "messages")
 
 
 def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfig()) -> Result:
@@ -89,36 +106,44 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
     edges = graph.hold(graph.edges.join(degrees, "src").repartition(parts, "src").sortWithinPartitions("src"))
     first = graph.vertices.join(degrees.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
     kept = Kept(spark)
-    state, _, _ = kept.put(first.select("id", *[c.alias(k) for k, c in program.init.items()], F.lit(True).alias("changed")))
+    state, _ = kept.put(first.select("id", *[c.alias(k) for k, c in program.init.items()], F.lit(True).alias("changed")))
     index = pid = None
     if config.mode in ("selective", "async"):
         pid = graph.hold(partition_assign(graph, config.partitions if config.mode == "selective" else config.blocks))
         edges = graph.hold(edges.join(pid.withColumnRenamed("id", "dst"), "dst").repartition(parts, "src").sortWithinPartitions("src"))
-        index = graph.hold(partition_source_index(edges))
+        index = graph.hold(partition_source_index(edges) if config.index == "exact" else bloom_index(edges))
+    alive = active_partitions if config.index == "exact" else bloom_active
     out, share = Result(state), 1.0
     for step in range(1, config.max_iter + 1):
         began = time.monotonic()
+        if program.before_step:
+            state = program.before_step(state, step)
         if config.mode == "async":
             new = state
             for block in range(config.blocks):
                 own = pid.where(F.col("pid") == block).select("id", F.lit(True).alias("_own"))
                 ahead = _step(new, edges.where(F.col("pid") == block), program, config.tol)
                 ahead = ahead.join(own, "id", "left")
-                ahead = ahead.select("id", *program.init, (F.col("changed") & F.coalesce("_own", F.lit(False))).alias("changed"))
-                new = ahead if block == 0 else ahead.join(new.select("id", F.col("changed").alias("_before")), "id").select("id", *program.init, (F.col("changed") | F.col("_before")).alias("changed"))
+                ahead = ahead.select("id", *program.init, (F.col("changed") & F.coalesce("_own", F.lit(False))).alias("changed"), "messages")
+                if block:
+                    ahead = ahead.join(new.select("id", F.col("changed").alias("_before"), F.col("messages").alias("_sent")), "id")
+                    ahead = ahead.select("id", *program.init, (F.col("changed") | F.col("_before")).alias("changed"), (F.col("messages") + F.col("_sent")).alias("messages"))
+                new = ahead
         else:
-            on = edges
-            if config.mode == "frontier" and step > 1:
-                on = edges.join(state.where("changed").select(F.col("id").alias("src")), "src", "left_semi")
+            on, senders = edges, None
+            if config.mode == "frontier" and step > 1 and share < config.sparse_below:
+                senders = state.where("changed")
             elif config.mode == "selective" and step > 1 and share < config.selective_below:
-                live = active_partitions(index, state.where("changed").select("id"))
+                live = alive(index, state.where("changed").select("id"))
                 on = edges.join(F.broadcast(live), "pid", "left_semi")  # one row a partition
-            new = _step(state, on, program, config.tol)
-        state, changed, n = kept.put(new)
-        share = changed / n if n else 0.0
-        out.metrics.append((step, changed, share))
+            new = _step(state, on, program, config.tol, senders)
+        state, seen = kept.put(new, "messages")
+        share = seen["changed"] / seen["n"] if seen["n"] else 0.0
+        out.metrics.append((step, seen["changed"], share))
+        out.messages.append(seen["messages"])
         out.seconds.append(time.monotonic() - began)
-        if config.stop_when_stable and not changed:
+        stop = program.after_step and program.after_step(state, step) is False
+        if stop or config.stop_when_stable and not seen["changed"]:
             break
     out.state = state.drop("changed")
     graph.release()

@@ -12,6 +12,7 @@ from vertexloom.functions.scalars import cache_level, decode_id, encode_id
 from vertexloom.operators import gather as g
 from vertexloom.operators import messages as m
 from vertexloom.operators import partitioning as p
+from vertexloom.operators import sketch
 from vertexloom.sources import binary, edge_list
 
 from . import algorithms as alg
@@ -187,6 +188,17 @@ def row_allocation(spark, d):
     return p.row_allocation(sizes, ROWS)
 
 
+@query(f"""{_SIZES}, s2 AS (SELECT col, pid, size, row_number() OVER (PARTITION BY col ORDER BY pid) AS k, sum(size) OVER (PARTITION BY col) / {ROWS}::DOUBLE AS mean FROM sizes),
+al(col, k, got, row) AS (SELECT DISTINCT col, 0::BIGINT, 0::DOUBLE, 0::BIGINT FROM sizes UNION ALL
+  SELECT s2.col, s2.k, CASE WHEN got + size >= mean THEN 0 ELSE got + size END, CASE WHEN got + size >= mean THEN least(row + 1, {ROWS - 1}) ELSE row END
+  FROM al JOIN s2 ON s2.col = al.col AND s2.k = al.k + 1)
+SELECT s2.col, s2.pid, CAST(row AS BIGINT) AS row FROM al JOIN s2 ON s2.col = al.col AND s2.k = al.k""")
+def row_allocation_greedy(spark, d):
+    graph = derived.multi(spark, d)
+    sizes = p.partitioned_edges(graph, P).groupBy(p.column_of(F.col("src"), graph.n, C).alias("col"), "pid").agg(F.count(F.lit(1)).alias("size"))
+    return p.row_allocation_greedy(sizes, ROWS)
+
+
 @query(f"{_PID} SELECT DISTINCT pid, src FROM pe")
 def partition_source_index(spark, d):
     return p.partition_source_index(p.partitioned_edges(derived.multi(spark, d), P))
@@ -214,6 +226,15 @@ def active_partitions(spark, d):
     return p.active_partitions(*_frontier(spark, d))
 
 
+@query(f"{_FRONTIER} SELECT pid FROM live")
+def active_partitions_bloom(spark, d):
+    """By Bloom filters so large that a false positive is out of the question."""
+    graph = derived.sparse(spark, d)
+    pid = p.partition_assign(derived.multi(spark, d), P)
+    index = sketch.bloom_index(graph.edges.join(pid.withColumnRenamed("id", "dst"), "dst"), fpp=1e-9)
+    return sketch.bloom_active(index, _frontier(spark, d)[1], fpp=1e-9)
+
+
 @query(f"{_FRONTIER} SELECT DISTINCT pid FROM pes WHERE pid NOT IN (SELECT pid FROM live)")
 def skipped_partitions(spark, d):
     return p.skipped_partitions(*_frontier(spark, d))
@@ -239,6 +260,22 @@ def replication_ratio(spark, d):
     return p.replication_ratio(graph.edges, graph.n, C).select("col", F.round("need_ratio", 9).alias("need_ratio"), F.round("update_ratio", 9).alias("update_ratio"))
 
 
+@query(f""" SELECT round(avg(n), 9) AS need_ratio, round(avg(u), 9) AS update_ratio FROM
+(SELECT {_COL} AS col, count(DISTINCT src) / (SELECT count(*) FROM v) AS n, count(DISTINCT dst) / (SELECT count(*) FROM v) AS u FROM ed GROUP BY 1)""")
+def replication_mean(spark, d):
+    graph = derived.dense(spark, d)
+    mean = p.replication_mean(p.replication_ratio(graph.edges, graph.n, C))
+    return mean.select(F.round("need_ratio", 9).alias("need_ratio"), F.round("update_ratio", 9).alias("update_ratio"))
+
+
+@query(f"{_PID} SELECT pid, src, dst FROM pe WHERE pid >= 3 AND pid < 6")
+def partition_pruned(spark, d):
+    """The second round of partitions, read from a layout with a folder for each."""
+    path = _folder(spark)
+    edge_list.write_partitions(p.partitioned_edges(derived.multi(spark, d), P), path)
+    return edge_list.read_partitions(spark, path).where(p.in_round(F.col("pid"), P, ROUNDS, 1))
+
+
 @query(f"{_PID} SELECT pid, dst, row_number() OVER (PARTITION BY pid ORDER BY dst, src) - 1 AS place, src FROM pe")
 def csr_export(spark, d):
     graph = derived.multi(spark, d)
@@ -571,8 +608,8 @@ def vertex_program_custom(spark, d):
 
 
 @query(f"""{_spread('id', 'val', 'min')}, ch AS (SELECT b.i AS step, sum((a.val <> b.val)::INT) AS changed, count(*) AS n FROM r a JOIN r b ON a.id = b.id AND b.i = a.i + 1 GROUP BY b.i)
-SELECT step, CAST(changed AS BIGINT) AS changed, round(changed / n, 6) AS ratio FROM ch WHERE step <= (SELECT min(step) FROM ch WHERE changed = 0)""")
+, ms AS (SELECT now.i + 1 AS step, count(*) AS messages FROM r now JOIN es ON es.src = now.id LEFT JOIN r old ON old.id = now.id AND old.i = now.i - 1 WHERE now.i = 0 OR old.val <> now.val GROUP BY 1)
+SELECT step, CAST(changed AS BIGINT) AS changed, round(changed / n, 6) AS ratio, CAST(coalesce(messages, 0) AS BIGINT) AS messages FROM ch LEFT JOIN ms USING (step) WHERE step <= (SELECT min(step) FROM ch WHERE changed = 0)""")
 def iteration_metrics(spark, d):
-    """A row for each step of label-min: vertices that changed against the step before; the last row has none."""
-    rows = alg.labels(derived.sparse(spark, d)).metrics
-    return spark.createDataFrame([(s, c, r) for s, c, r in rows], "step int, changed long, ratio double").select("step", "changed", F.round("ratio", 6).alias("ratio"))
+    """A row for each step of label-min: vertices that changed against the step before, messages sent; the last row has none changed."""
+    return alg.labels(derived.sparse(spark, d)).report().select("step", "changed", F.round("ratio", 6).alias("ratio"), "messages")

@@ -74,6 +74,14 @@ def block_edges(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *dst]), np.concatenate([none, *src])
 
 
+def _store(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    local = path.removeprefix("file:") if "://" not in path else None
+    return fs.FileSystem.from_uri(f"file://{local}" if local else path)
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
@@ -92,14 +100,39 @@ def _decoded(files: DataFrame, schema: str, rows: Callable[[str, bytes], pd.Data
     return files.mapInPandas(run, schema)
 
 
-def read_vector(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
-    """id (place in the vector, from 0), value."""
+def _layout(head: bytes, dtype: str) -> tuple[int, np.dtype]:
+    """Where the values of a vector file start, and their type."""
+    if head[:6] != b"\x93NUMPY":
+        return 0, np.dtype(dtype)
+    from numpy.lib import format as npf
 
-    def rows(_: str, content: bytes) -> pd.DataFrame:
-        a = vector(content)
-        return pd.DataFrame({"id": np.arange(len(a)), "value": a.astype(np.float64)})
+    f = io.BytesIO(head)
+    version = npf.read_magic(f)
+    shape, _, kind = (npf.read_array_header_1_0 if version == (1, 0) else npf.read_array_header_2_0)(f)
+    if len(shape) != 1:
+        raise ValueError(f"a vector has one dimension, not {len(shape)}")
+    return f.tell(), kind
 
-    return _decoded(_files(spark, path, pattern), "id long, value double", rows)
+
+def read_vector(spark: SparkSession, path: str, pattern: str = "*.npy", dtype: str = "<i4", chunk: int = 1 << 25) -> DataFrame:
+    """id (place in the vector, from 0), value. Files are read in ranges of ``chunk`` bytes, one a task, whatever their size."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where("length > 0").select("path", "length")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))).alias("at"))
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / chunk))).first()[0] or 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, length, at in zip(pdf["path"], pdf["length"].tolist(), pdf["at"].tolist()):
+                store, own = _store(name)
+                with store.open_input_file(own) as f:
+                    start, kind = _layout(f.read_at(min(length, 4096), 0), dtype)
+                    # the values whose first byte lies in this range
+                    first, end = (max(-(-(x - start) // kind.itemsize), 0) for x in (at, min(at + chunk, length - kind.itemsize + 1)))
+                    if end > first:
+                        raw = f.read_at((end - first) * kind.itemsize, start + first * kind.itemsize)
+                        yield pd.DataFrame({"id": np.arange(first, end), "value": np.frombuffer(raw, kind).astype(np.float64)})
+
+    return ranges.repartition(int(tasks)).mapInPandas(run, "id long, value double")
 
 
 def read_csr(spark: SparkSession, path: str, pattern: str = "*.edge*") -> DataFrame:
@@ -151,9 +184,7 @@ def write_files(blobs: DataFrame, path: str) -> int:
     """Write (name, content) rows as files below ``path``, from the executors; a rewritten file has the same bytes. Returns their number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store, root = _store(path)
         store.create_dir(root, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):

@@ -18,6 +18,16 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws("\t", "src", "dst").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_partitions(edges: DataFrame, path: str) -> None:
+    """Edges (pid, src, dst) as Parquet, a folder for each partition number."""
+    edges.repartition("pid").sortWithinPartitions("pid", "dst", "src").write.mode("overwrite").partitionBy("pid").parquet(path)
+
+
+def read_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """pid, src, dst; a filter on pid reads the folders of those partitions only."""
+    return spark.read.schema("src long, dst long, pid long").parquet(path).select("pid", "src", "dst")
+
+
 def write_degrees(degrees: DataFrame, path: str) -> None:
     """(id, degree) as text, one pair a line."""
     degrees.select(F.concat_ws("\t", *degrees.columns).alias("value")).write.mode("overwrite").text(path)

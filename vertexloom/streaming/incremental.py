@@ -1,4 +1,4 @@
-"""Edges that arrive as files: degrees and smallest labels kept up to date in micro-batches.
+"""Edges that arrive as files: degrees and weak components kept up to date in micro-batches.
 
 An extension; results equal a batch run over all edges seen so far. State lives in versioned Parquet
 folders, so a batch that is run again writes the same version again.
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vertexloom.plans.contraction import weak_components
+from vertexloom.plans.graph import Graph
+
 EDGE_SCHEMA = "src long, dst long"
 
 
@@ -32,3 +35,23 @@ def maintain_degrees(spark: SparkSession, incoming: str, state: str, checkpoint:
 
 def degrees_at(spark: SparkSession, state: str, version: int) -> DataFrame:
     return _state(spark, state, version, "id long, out_degree long, in_degree long")
+
+
+def maintain_components(spark: SparkSession, incoming: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that keeps the weak components of all edges seen so far at ``state``; it ends when all is read.
+
+    A batch contracts its own edges and the links from each known vertex to its component, not older edges.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        old = components_at(spark, state, number - 1)
+        links = batch.select("src", "dst").union(old)
+        ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+        weak_components(Graph(ids, links)).write.mode("overwrite").parquet(f"{state}/v={number}")
+
+    edges = spark.readStream.schema(EDGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(incoming)
+    return edges.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def components_at(spark: SparkSession, state: str, version: int) -> DataFrame:
+    return _state(spark, state, version, "id long, min_id long")
