@@ -578,8 +578,21 @@ def test_join_of_repeated_rows_and_null_ids(spark):
     for r in got:
         by.setdefault(r["doc_id"], set()).add(r["component_id"])
     assert all(by[i] == {1} for i in (1, 70, 80, 90)) and all(by[i] == {10} for i in range(10, 60)) and by[None] == {1, 10, None}
-    kept = [r[0] for r in ngram_join.without_near_copies(docs_of(spark, rows), 3, 80).select("doc_id").collect()]
-    assert sorted(x for x in kept if x) == [1] * 50 + [10] and kept.count(None) == 25
+    # the filter judges rows by their own texts: one row of each group stays, whatever its id
+    ranked = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    want = [ranked[i][0] for i, (_, root) in brute_components([(i, r[1]) for i, r in enumerate(ranked)], 3, 80).items() if i == root]
+    kept = ngram_join.without_near_copies(docs_of(spark, rows), 3, 80).collect()
+    assert [r[0] for r in sorted(kept, key=lambda r: (r[0] is None, r[0] or 0))] == want == [1, 10, 70, 70, None, None]
+    assert {r[1] for r in kept} >= {a, b, "alone", "apart"}
+
+
+def test_near_copies_of_clashing_columns_and_empty_texts(spark):
+    """Empty and null texts stay, equal rows become one, and columns named like the operator's own are kept."""
+    rows = [(1, "a b c d e f", 1, 5), (1, "a b c d e f", 1, 5), (2, "A b c d e f", 2, 6), (3, "", 3, 7), (3, "", 3, 7), (None, None, 4, 8), (4, "one", 5, 9), (None, "ONE", 6, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash long, node int")
+    kept = ngram_join.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5], rows[6]], key=str)
 
 
 def test_links_of_a_hot_root_are_split(spark, monkeypatch):

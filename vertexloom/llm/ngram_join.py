@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, map_arrow, n_parts, small
+from .common import cut, drop, free_name, map_arrow, n_parts, small
 from .components import components
 from .textvec import SPACES, mix, pieces, shingle_sets, shingles, words
 
@@ -426,15 +426,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
     return links
 
 
-def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.ndarray = SPACES) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+def _classes(docs: DataFrame, k: int, percent: int, ends: np.ndarray, one_document: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, hash, n, node, rep), nodes (node, key, bitmap, route), and node, root of every linked node.
 
-    Words are runs of other than ASCII white space (or what ``ends`` says), A-Z lower-cased; a text of
-    fewer than ``k`` words is one shingle. Two rows link when 100 * shared >= ``percent`` * joint
-    shingles. Null and empty texts have no shingles and no links. Rows that repeat a doc_id count as one
-    document with the links of all its texts; rows with a null doc_id are documents of their own that
-    are reached through links only, and the component of rows that reach no doc_id is null. Empty
-    input: no rows. Sets are equal when their 128-bit digests are.
+    With ``one_document``, rows that share a doc_id are linked too, whatever their texts.
     """
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(word_rarity(docs))
@@ -446,8 +441,8 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.n
     nodes = signed.where("n > 0").groupBy(*digest).agg(first.alias("key"), F.any_value("bitmap").alias("bitmap"), F.any_value("route").alias("route"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     names = nodes.select(*[F.col(c).alias(f"_{c}") for c in digest], "node", F.col("key.doc_id").alias("rep"))
-    rows = signed.select("doc_id", *digest)
-    rows = cut(rows.join(names, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left").select("doc_id", "n", "node", "rep"))
+    rows = signed.select("doc_id", "hash", *digest)
+    rows = cut(rows.join(names, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left").select("doc_id", "hash", "n", "node", "rep"))
     drop(signed)
     branch, pairs = _branches(nodes.select(F.explode("route").alias("token"), "node", "n"), percent)
     links = _links(pairs, nodes, docs, k, percent, ends)
@@ -457,13 +452,28 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.n
     more = cut(found.distinct().join(pairs, ["a", "b"], "left_anti"))
     drop(branch, *files)
     others = more if more.isEmpty() else _links(more, nodes, docs, k, percent, ends)
-    # rows that repeat a doc_id with other texts are one document
-    own = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
-    same = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    label = components(links.union(others).union(same))
+    every = links.union(others)
+    if one_document:
+        own = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
+        several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+        every = every.union(own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    label = components(every)
     drop(pairs, links, more)
-    placed = label.join(names.select("node", "rep"), "node")
+    return rows, nodes, label
+
+
+def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.ndarray = SPACES) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+
+    Words are runs of other than ASCII white space (or what ``ends`` says), A-Z lower-cased; a text of
+    fewer than ``k`` words is one shingle. Two rows link when 100 * shared >= ``percent`` * joint
+    shingles. Null and empty texts have no shingles and no links. Rows that repeat a doc_id count as one
+    document with the links of all its texts; rows with a null doc_id are documents of their own that
+    are reached through links only, and the component of rows that reach no doc_id is null. Empty
+    input: no rows. Sets are equal when their 128-bit digests are.
+    """
+    rows, nodes, label = _classes(docs, k, percent, ends, one_document=True)
+    placed = label.join(nodes.select("node", F.col("key.doc_id").alias("rep")), "node")
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = cut(placed.join(smallest, "root").select("node", "component_id"))
     drop(nodes)
@@ -471,7 +481,30 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90, ends: np.n
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id"))
 
 
-def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
-    """All columns of one document for each component: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = cut(linked_components(docs, k, percent, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, ends: np.ndarray = SPACES) -> DataFrame:
+    """All columns of one row for each component of linked rows: the one with the smallest doc_id, null last.
+
+    Every row is judged by its own text: rows that share a doc_id, or have none, are linked by their texts
+    only. Of rows equal in doc_id and text one stays, of other rows with the same smallest doc_id the
+    one whose text has the smaller 64-bit hash. Null and empty texts all stay. Empty input: no rows.
+    """
+    rows, nodes, label = _classes(docs, k, percent, ends, one_document=False)
+    drop(nodes)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    rows = rows.where("node IS NOT NULL").select("node", rank.alias("rank"))
+    placed = rows.groupBy("node").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("copies")).join(label, "node", "left")
+    placed = cut(placed.withColumn("root", F.coalesce("root", "node")))
+    stays = placed.groupBy("root").agg(F.min("least").alias("stays"), F.sum("copies").alias("_copies")).where("_copies > 1")
+    winner = cut(placed.join(stays, "root").select("node", "stays"))
+    judged = rows.join(small(winner), "node").groupBy("rank", "stays").agg(F.count(F.lit(1)).alias("copies"))
+    judged = cut(judged.select(F.col("rank.doc_id").alias("_id"), F.col("rank.hash").alias("_hash"), F.col("rank").eqNullSafe(F.col("stays")).alias("_stays"), "copies"))
+    drop(placed, winner)
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    gone, again = (cut(judged.where(which).select("_id", "_hash")) for which in ("NOT _stays", "_stays AND copies > 1"))
+    drop(judged)
+    kept = docs.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    text = free_name(docs, "_text_hash")
+    several = docs.join(small(again), same, "left_semi").withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
+    return kept.join(small(again), same, "left_anti").unionByName(several)
