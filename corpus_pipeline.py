@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 Jaccard of five-word shingles, the one with the smallest doc_id stays."""
+    """Of rows linked by 0.8 Jaccard of five-word shingles, the one with the smallest doc_id (null last) stays."""
     return ngram_join.without_near_copies(docs, k=5, percent=80)
 
 
