@@ -549,6 +549,58 @@ def test_dual_traversal_loses_nothing():
         assert want <= got and len(got) < 5 * len(want) + 50
 
 
+def test_blocks_make_no_more_rows_than_they_read():
+    """A block of near copies around the threshold: rows grow with its nodes, not with its pairs, and the links join what brute force joins."""
+    rnd = np.random.default_rng(4)
+    draw = lambda n: rnd.integers(0, 2**63, n).astype(np.uint64)
+    base = draw(60)
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[: 60 - d], draw(d)])) for d in rnd.integers(2, 9, 300)]
+    node = np.arange(len(sets)) * 3
+    shared = {"block": np.full(len(sets), 7), "side": np.zeros(len(sets), np.int32), "node": node, "n": np.array([len(s) for s in sets]), "label": node}
+    batch = lambda name, column: pa.RecordBatch.from_pydict(shared | {name: pa.array(column, pa.binary())})
+    rows = lambda made: [r for b in made for r in b.to_pylist()]
+    bitmaps = batch("bitmap", [zlib.compress(ngram_join._bitmap(s)) for s in sets])
+    pairs = rows(ngram_join._tree_pairs(80)(iter([bitmaps])))
+    assert len(pairs) <= len(sets) and {r["block"] for r in pairs} == {None, 7}
+    members = rows(ngram_join._tree_members(80)(iter([bitmaps])))
+    links = rows(ngram_join._tree_links(80)(iter([batch("shingles", [s.tobytes() for s in sets])])))
+    assert len(members) <= len(sets) and len(links) < len(sets)
+    up = {int(i): int(i) for i in node}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    joined = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert all((max(r["a"], r["b"]) // 3, min(r["a"], r["b"]) // 3) in joined for r in links) and len(joined) > 10 * len(sets)
+    for r in links:
+        a, b = root(r["a"]), root(r["b"])
+        assert a != b
+        up[a] = b
+    assert all(root(3 * a) == root(3 * b) for a, b in joined) and len({root(int(i)) for i in node}) > 1
+    assert {r["node"] // 3 for r in members} >= {i for pair in joined for i in pair}
+
+
+@pytest.mark.parametrize("branch", [2500, 1 << 20])
+def test_join_of_copies_around_the_threshold(spark, monkeypatch, branch):
+    """Of candidates left out of a block's forest, those that join what is still apart are verified in the block."""
+    rnd = random.Random(9)
+    words = [f"u{i}" for i in range(5000)]
+    rows, base = [], [rnd.choice(words) for _ in range(60)]
+    for i in range(200):
+        t = list(base)
+        for _ in range(rnd.choice([2, 3, 4, 5])):
+            t[rnd.randrange(60)] = rnd.choice(words)
+        rows.append((i, " ".join(t), "s"))
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    monkeypatch.setattr(ngram_join, "BRANCH", branch)
+    found, real = [], ngram_join._links_within
+    monkeypatch.setattr(ngram_join, "_links_within", lambda *a: (found.append(real(*a)), found[-1])[1])
+    got = ngram_join.linked_components(docs_of(spark, rows), 3, 75).collect()
+    want = brute_components(rows, 3, 75)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len(found) == 1 and (branch == 2500 or found[0].count() > 0) and len({c for _, c in want.values()}) > 1
+
+
 def test_near_copies_and_empty_input(spark):
     rows = corpus(5)
     docs = docs_of(spark, rows)

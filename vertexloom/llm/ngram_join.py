@@ -14,7 +14,11 @@ Exact: no pair of texts at the threshold is lost.
    the OR of the bitmaps below them, their size range, and their component if they have only one. Two
    trees (or one with itself) are descended together; a pair of tree nodes is dropped if the sizes
    can't match, if all lies in one component already, or if the OR bitmaps share too few bits for the
-   overlap that a link needs. What is left at the leaves is verified by exact intersection.
+   overlap that a link needs. What is left at the leaves are candidates.
+4. A block gives at most one candidate for each of its components, a forest of them, to be verified by
+   exact intersection. If it had others, and the links found don't make it one component, the sets
+   of its nodes with candidates are brought to it, and one task verifies pair by pair what still
+   would join two components. So no step makes more rows than it reads, however large a group is.
 
 Everything about branches that needs no bitmaps is an aggregation or a join, so a routing shingle of a
 third of all nodes is pre-aggregated and split like any key. A branch with more than BRANCH shingles is
@@ -340,21 +344,102 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _candidates(held: pa.Table, bitmap: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a block that may link, for a table of whole blocks."""
+    side, n, label = (held[c].to_numpy() for c in ("side", "n", "label"))
+    groups = _groups(held["block"].to_numpy())
+    yield from leaf_pairs(bitmap, n, label, [g for g in groups if g[1] - g[0] <= LEAF and side[g[0]] == 0], percent)
+    for lo, hi in groups:
+        if hi - lo > LEAF or side[lo]:
+            yield from _moved(lo, block_pairs(bitmap[lo:hi], n[lo:hi], label[lo:hi], side[lo:hi], percent))
+
+
+class _Joins:
+    """Components of the rows of a table of blocks: at first, those of a block with the same label."""
+
+    def __init__(self, held: pa.Table):
+        own = np.stack([held["block"].to_numpy(), held["label"].to_numpy()])
+        self.at = np.unique(own, axis=1, return_inverse=True)[1].ravel()
+        self.up = np.arange(len(self.at))
+
+    def _root(self, c: int) -> int:
+        up = self.up
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up[self.at[x]] != self.up[self.at[y]]
+
+    def join(self, x: np.ndarray, y: np.ndarray, linked=None) -> np.ndarray:
+        """Which pairs join two components that are apart by then (and are ``linked``): fewer than there are components."""
+        took = np.zeros(len(x), bool)
+        for i in np.flatnonzero(self.apart(x, y)).tolist():
+            a, b = self._root(self.at[x[i]]), self._root(self.at[y[i]])
+            if a != b and (linked is None or linked(x[i], y[i])):
+                self.up[max(a, b)] = min(a, b)
+                took[i] = True
+        return took
+
+
+def _pair_batch(node: np.ndarray, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    x, y = (node[np.concatenate([np.empty(0, np.int64), *i])] for i in (x, y))
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+
+
+def _bitmaps(held: pa.Table) -> list[bytes]:
+    return [zlib.decompress(x.as_buffer()) for c in held["bitmap"].chunks for x in c]
+
+
 def _tree_pairs(percent: int):
-    """Rows (block, side, node, n, label, bitmap) sorted by block: pairs (a, b) of nodes that may link."""
+    """Rows (block, side, node, n, label, bitmap) sorted by block: forests of pairs (a, b) of nodes that may link.
+
+    Rows with only a block name those that have other such pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _whole_blocks(batches):
+            block, joins, found, more = held["block"].to_numpy(), _Joins(held), ([], []), set()
+            for x, y in _candidates(held, _bitmaps(held), percent):
+                took = joins.join(x, y)
+                found[0].append(x[took])
+                found[1].append(y[took])
+                more.update(np.unique(block[x[~took]]).tolist())
+            a, b = _pair_batch(held["node"].to_numpy(), *found)
+            none = [None] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *none], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.array([*[None] * len(a), *more], pa.int64())], ["a", "b", "block"])
+
+    return run
+
+
+def _tree_members(percent: int):
+    """Of the same rows, without bitmaps, those whose nodes may link to another component of their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _whole_blocks(batches):
-            block, side, node, n, label = (held[c].to_numpy() for c in ("block", "side", "node", "n", "label"))
-            bitmap = [zlib.decompress(x.as_buffer()) for c in held["bitmap"].chunks for x in c]
-            groups = _groups(block)
-            found = [leaf_pairs(bitmap, n, label, [g for g in groups if g[1] - g[0] <= LEAF and side[g[0]] == 0], percent)]
-            found += [_moved(lo, block_pairs(bitmap[lo:hi], n[lo:hi], label[lo:hi], side[lo:hi], percent)) for lo, hi in groups if hi - lo > LEAF or side[lo]]
-            for pairs in found:
-                for x, y in pairs:
-                    if len(x):
-                        a, b = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            marked = np.zeros(held.num_rows, bool)
+            for x, y in _candidates(held, _bitmaps(held), percent):
+                marked[x] = marked[y] = True
+            yield from held.select(["block", "side", "node", "n", "label"]).filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def _tree_links(percent: int):
+    """Rows (block, side, node, n, label, shingles) sorted by block: links (a, b) that join all components of a block that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _whole_blocks(batches):
+            sets = [np.frombuffer(x.as_buffer(), _U) for c in held["shingles"].chunks for x in c]
+            joins, found = _Joins(held), ([], [])
+            for x, y in _candidates(held, [_bitmap(s) for s in sets], percent):
+                took = joins.join(x, y, lambda i, j: _linked(sets[i], sets[j], percent))
+                found[0].append(x[took])
+                found[1].append(y[took])
+            a, b = _pair_batch(held["node"].to_numpy(), *found)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -393,21 +478,32 @@ def _sets(k: int, ends: np.ndarray):
     return run
 
 
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Do these sorted sets link?"""
+    if len(p) > len(q):
+        p, q = q, p
+    shared = int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p))
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for p, q in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U)
-                if len(p) > len(q):
-                    p, q = q, p
-                shared = int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p))
-                ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            ok = [_linked(np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U), percent) for p, q in zip(b.column(2), b.column(3))]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
 
 
+def _node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, ends: np.ndarray) -> DataFrame:
+    """node, shingles of the wanted nodes, from one text for each: a row of the node's doc_id with the same text."""
+    keys = cut(nodes.select("node", F.col("key.doc_id").alias("_id"), F.col("key.hash").alias("_hash")).join(wanted, "node"))
+    texts = docs.select("doc_id", "text").join(small(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).groupBy("node").agg(F.any_value("text").alias("text"))
+    sets = cut(map_arrow(texts, _sets(k, ends), "node long, shingles binary"))
+    drop(keys)
+    return sets
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, ends: np.ndarray) -> DataFrame:
     """Of candidate pairs (a, b) of nodes, those that are links: by bitmaps, then by the sets of the texts behind what is left."""
     either = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -416,13 +512,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
     likely = cut(map_arrow(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), _by_bitmap(percent), "a long, b long"))
-    keys = cut(nodes.select("node", F.col("key.doc_id").alias("_id"), F.col("key.hash").alias("_hash")).join(either(likely), "node"))
-    # one text for each node: a row of the node's doc_id with the same text
-    texts = docs.select("doc_id", "text").join(small(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).groupBy("node").agg(F.any_value("text").alias("text"))
-    sets = cut(map_arrow(texts, _sets(k, ends), "node long, shingles binary"))
+    sets = _node_sets(either(likely), nodes, docs, k, ends)
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_p")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_q")), "b")
     links = cut(map_arrow(both.select("a", "b", "_p", "_q"), _verify(percent), "a long, b long"))
-    drop(wanted, likely, keys, sets)
+    drop(wanted, likely, sets)
+    return links
+
+
+def _leaves(blocks: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of blocks with their nodes' bitmaps or sets, sorted by block in their tasks."""
+    rows = blocks.join(marks, "node").select("block", "side", "node", "n", "label", marks.columns[1])
+    return rows.repartition(n_parts(blocks.sparkSession), "block").sortWithinPartitions("block", "side", "node")
+
+
+def _links_within(blocks: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, ends: np.ndarray) -> DataFrame:
+    """Links between components, as ``label`` has them, of the same block: every pair that may link is verified where the block is."""
+    rows = cut(blocks.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    several = cut(rows.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block"))
+    members = cut(map_arrow(_leaves(rows.join(small(several), "block", "left_semi"), nodes.select("node", "bitmap")), _tree_members(percent), "block long, side int, node long, n long, label long"))
+    sets = _node_sets(members.select("node").distinct(), nodes, docs, k, ends)
+    links = cut(map_arrow(_leaves(members, sets), _tree_links(percent), "a long, b long"))
+    drop(rows, several, members, sets)
     return links
 
 
@@ -447,12 +557,14 @@ def _classes(docs: DataFrame, k: int, percent: int, ends: np.ndarray, one_docume
     branch, pairs = _branches(nodes.select(F.explode("route").alias("token"), "node", "n"), percent)
     links = _links(pairs, nodes, docs, k, percent, ends)
     blocks, files = _blocks(branch, components(links), percent)
-    leaves = blocks.join(nodes.select("node", "bitmap"), "node").select("block", "side", "node", "n", "label", "bitmap")
-    found = map_arrow(leaves.repartition(n_parts(spark), "block").sortWithinPartitions("block", "side", "node"), _tree_pairs(percent), "a long, b long")
-    more = cut(found.distinct().join(pairs, ["a", "b"], "left_anti"))
-    drop(branch, *files)
+    tried = cut(map_arrow(_leaves(blocks, nodes.select("node", "bitmap")), _tree_pairs(percent), "a long, b long, block long"))
+    more = cut(tried.where("block IS NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     others = more if more.isEmpty() else _links(more, nodes, docs, k, percent, ends)
     every = links.union(others)
+    left = cut(tried.where("block IS NOT NULL").select("block").distinct())
+    if not left.isEmpty():
+        every = every.union(_links_within(blocks.join(small(left), "block", "left_semi"), components(every), nodes, docs, k, percent, ends))
+    drop(branch, tried, left, *files)
     if one_document:
         own = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
         several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
