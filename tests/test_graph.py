@@ -183,3 +183,32 @@ def test_lists_in_windows(graph):
 def test_replication_mean(spark):
     ratios = spark.createDataFrame([(0, 0.5, 0.25), (1, 0.25, 0.75)], "col long, need_ratio double, update_ratio double")
     assert tuple(partitioning.replication_mean(ratios).first()) == (0.375, 0.5)
+
+
+def test_async_sends_what_changed(spark):
+    """A long chain in async runs: each turn sends changed values only, and plans and estimates stay small over a hundred steps."""
+    edges = [(v + 1, v) for v in range(99)]
+    got = alg.labels(made(spark, edges, 100), min_label=False, max_label=True, mode="async")
+    assert column(got.state, "max_id") == [99] * 100
+    assert got.messages[0] == 99 and all(b < 99 for b in got.messages[1:]) and got.messages[-1] <= 1
+    assert got.metrics[-1][1] == 0 and len(got.metrics) > 40
+
+
+@pytest.mark.parametrize("mode", ["frontier", "async"])
+def test_states_stay_dealt_and_edges_are_derived_once(spark, mode):
+    from vertexloom.plans.program import EngineConfig, run
+
+    read, plans = spark.sparkContext.accumulator(0), []
+
+    def rows(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    multi = spark.createDataFrame(EDGES, "src long, dst long").mapInPandas(rows, "src long, dst long")
+    program = alg.label_program()
+    program.after_step = lambda state, step: plans.append(state._jdf.queryExecution().executedPlan().outputPartitioning().toString())
+    got = run(Graph(spark.range(9), multi), program, EngineConfig(max_iter=100, mode=mode))
+    assert column(got.state, "min_id") == [0, 0, 0, 0, 0, 5, 5, 7, 8]
+    assert read.value == len(EDGES)
+    assert len(plans) == len(got.metrics) and all(p.startswith("hashpartitioning(id") for p in plans)

@@ -26,17 +26,15 @@ class Kept:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-        self.number = 0
-        atexit.register(self._delete, self.folder)
+        self.number, self.dealt = 0, {}
+        atexit.register(self._end)
 
     def put(self, df: DataFrame, tally: str | None = None) -> tuple[DataFrame, dict[str, int]]:
         """Write ``df`` (with a boolean ``changed``); the written copy and, from the same job, ``changed`` rows and all ``n`` rows.
 
         ``tally``: a column that is summed under its name and not written.
         """
-        seen, more = Observation(), [F.sum(tally).alias(tally)] if tally else []
-        counted = df.observe(seen, F.sum(F.col("changed").cast("long")).alias("changed"), F.count(F.lit(1)).alias("n"), *more)
-        counted = counted.drop(tally) if tally else counted
+        counted, seen = self._counted(df, tally)
         counted.write.parquet(f"{self.folder}/{self.number}")
         out = self.spark.read.schema(counted.schema).parquet(f"{self.folder}/{self.number}")
         if self.number:
@@ -44,6 +42,29 @@ class Kept:
         self.number += 1
         return out, {k: v or 0 for k, v in seen.get.items()}
 
+    def deal(self, df: DataFrame, tally: str | None = None, slot: int | str = 0) -> tuple[DataFrame, dict[str, int]]:
+        """As ``put``, but the copy stays in the partitions and the order of ``df``, if that wasn't planned adaptively. The predecessor of ``slot`` is deleted."""
+        sc = self.spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(shared_dir(self.spark))
+        counted, seen = self._counted(df, tally)
+        out = counted.checkpoint()
+        path = out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        if slot in self.dealt:
+            self._delete(self.dealt[slot])
+        self.dealt[slot] = path
+        return out, {k: v or 0 for k, v in seen.get.items()}
+
+    @staticmethod
+    def _counted(df: DataFrame, tally: str | None) -> tuple[DataFrame, Observation]:
+        seen, more = Observation(), [F.sum(tally).alias(tally)] if tally else []
+        counted = df.observe(seen, F.sum(F.col("changed").cast("long")).alias("changed"), F.count(F.lit(1)).alias("n"), *more)
+        return counted.drop(tally) if tally else counted, seen
+
+    def _end(self) -> None:
+        for path in (self.folder, *self.dealt.values()):
+            self._delete(path)
+
     def _delete(self, path: str) -> None:
         try:
             p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,17 +2,20 @@
 
 A step is one plan and one job: it joins the state to the edges, aggregates messages by target (with
 partial aggregation before the exchange), and joins the result to all vertices. Edges are dealt by
-source and sorted once, so steps neither shuffle nor sort them. Each state is written to shared
-storage and read back, which ends its lineage; the same job observes how many vertices changed.
+source and states by id, into as many partitions and sorted, so steps shuffle messages alone. Each state
+is checkpointed in shared storage, which ends its lineage; the same job observes how many vertices changed.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.operators.partitioning import active_partitions, partition_assign, partition_source_index
@@ -21,6 +24,9 @@ from vertexloom.operators.sketch import bloom_active, bloom_index
 from .graph import Graph
 from .lineage import Kept
 
+#: Edges and vertices of a partition, while there are more partitions than cores.
+EDGES_EACH, VERTICES_EACH = 200_000, 50_000
+
 
 @dataclass
 class VertexProgram:
@@ -29,7 +35,7 @@ class VertexProgram:
     over the old one and the combined messages, null where none came. ``monotone``: applying a message
     twice changes nothing and missing unchanged messages changes nothing (min, max), so frontiers are allowed.
     ``before_step`` gets the state (id, state columns, ``changed``) and the step's number and returns the state the
-    step starts from, with the same rows and columns. ``after_step`` gets the new state and the number; a run ends
+    step starts from, with the same rows and columns (async states have two more). ``after_step`` gets the new state and the number; a run ends
     when it returns False.
     """
 
@@ -85,15 +91,48 @@ def _moved(program: VertexProgram, tol: float) -> Column:
     return out
 
 
+@contextmanager
+def _as_dealt(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Plans made here keep their inputs' partitions: adaptive plans don't tell theirs, and a broadcast saves no shuffle."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts), "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _dealt(graph: Graph) -> tuple[DataFrame, int]:
+    """The distinct edges with their source's ``out_degree``, held, by source and sorted; the number of their partitions.
+
+    The derivation of the edges runs once, into Spark's number of partitions; small graphs then go to fewer.
+    """
+    spark = graph.vertices.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = graph.multi.select("src", "dst").repartition(most, "src").distinct()
+    edges = graph.hold(edges.withColumn("out_degree", F.count(F.lit(1)).over(Window.partitionBy("src"))))
+    parts = min(most, max(spark.sparkContext.defaultParallelism, -(-edges.count() // EDGES_EACH), -(-graph.n // VERTICES_EACH)))
+    if parts < most:
+        edges = graph.hold(edges.repartition(parts, "src").sortWithinPartitions("src"))
+    return edges, parts
+
+
 def _step(vertices: DataFrame, edges: DataFrame, program: VertexProgram, tol: float, senders: DataFrame | None = None) -> DataFrame:
-    """One update: ``vertices`` with state, joined to ``edges`` (src, dst, out_degree). ``senders``: the vertices that send, if not all."""
+    """One update: ``vertices`` with state, joined to ``edges`` (src, dst, out_degree).
+
+    ``senders``: the vertices that send, if they aren't ``vertices``. Other columns of ``vertices`` stay.
+    """
     state = list(program.init)
+    other = [c for c in vertices.columns if c not in ("id", "changed", *state)]
     sent = edges.join((vertices if senders is None else senders).withColumnRenamed("id", "src").select("src", *state), "src")
     messages = sent.select(F.col("dst").alias("id"), *[c.alias(f"_m_{k}") for k, c in program.gather.items()])
     got = messages.groupBy("id").agg(F.count(F.lit(1)).alias("messages"), *[f(F.col(f"_m_{k}")).alias(k) for k, f in program.combine.items()])
-    both = vertices.select("id", *state).join(got, "id", "left")
-    new = both.select("id", *state, F.coalesce("messages", F.lit(0)).alias("messages"), *[c.alias(f"new_{k}") for k, c in program.apply.items()])
-    return new.select("id", *[F.col(f"new_{k}").alias(k) if k in program.apply else F.col(k) for k in state], _moved(program, tol).alias("changed"), "messages")
+    both = vertices.select("id", *state, *other).join(got, "id", "left")
+    new = both.select("id", *state, *other, F.coalesce("messages", F.lit(0)).alias("messages"), *[c.alias(f"new_{k}") for k, c in program.apply.items()])
+    return new.select("id", *[F.col(f"new_{k}").alias(k) if k in program.apply else F.col(k) for k in state], *other, _moved(program, tol).alias("changed"), "messages")
 
 
 def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfig()) -> Result:
@@ -101,17 +140,26 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
     if config.mode in ("frontier", "selective", "async") and not program.monotone:
         raise ValueError(f"{config.mode} needs a monotone program")
     spark = graph.vertices.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-    edges = graph.hold(graph.edges.join(degrees, "src").repartition(parts, "src").sortWithinPartitions("src"))
-    first = graph.vertices.join(degrees.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+    edges, parts = _dealt(graph)
     kept = Kept(spark)
-    state, _ = kept.put(first.select("id", *[c.alias(k) for k, c in program.init.items()], F.lit(True).alias("changed")))
-    index = pid = None
+    degrees = edges.groupBy(F.col("src").alias("id")).agg(F.first("out_degree").alias("out_degree"))
+    first = graph.vertices.repartition(parts, "id").sortWithinPartitions("id").join(degrees, "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+    first = first.select("id", *[c.alias(k) for k, c in program.init.items()], F.lit(True).alias("changed"))
+    index = None
     if config.mode in ("selective", "async"):
-        pid = graph.hold(partition_assign(graph, config.partitions if config.mode == "selective" else config.blocks))
+        # balanced by the edges that a run has, which are distinct and held
+        pid = graph.hold(partition_assign(Graph(graph.vertices, edges), config.partitions if config.mode == "selective" else config.blocks))
         edges = graph.hold(edges.join(pid.withColumnRenamed("id", "dst"), "dst").repartition(parts, "src").sortWithinPartitions("src"))
+    if config.mode == "selective":
         index = graph.hold(partition_source_index(edges) if config.index == "exact" else bloom_index(edges))
+    with _as_dealt(spark, parts):
+        if config.mode == "async":
+            within = [graph.hold(edges.where(F.col("pid") == b)) for b in range(config.blocks)]
+            first = first.join(pid.withColumnRenamed("pid", "_block"), "id").withColumn("_turn", F.lit(0))
+            blocks = [kept.deal(first.where(F.col("_block") == b), slot=b)[0] for b in range(config.blocks)]
+            state = reduce(DataFrame.unionByName, blocks)
+        else:
+            state, _ = kept.deal(first)
     alive = active_partitions if config.index == "exact" else bloom_active
     out, share = Result(state), 1.0
     for step in range(1, config.max_iter + 1):
@@ -119,16 +167,21 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
         if program.before_step:
             state = program.before_step(state, step)
         if config.mode == "async":
-            new = state
-            for block in range(config.blocks):
-                own = pid.where(F.col("pid") == block).select("id", F.lit(True).alias("_own"))
-                ahead = _step(new, edges.where(F.col("pid") == block), program, config.tol)
-                ahead = ahead.join(own, "id", "left")
-                ahead = ahead.select("id", *program.init, (F.col("changed") & F.coalesce("_own", F.lit(False))).alias("changed"), "messages")
-                if block:
-                    ahead = ahead.join(new.select("id", F.col("changed").alias("_before"), F.col("messages").alias("_sent")), "id")
-                    ahead = ahead.select("id", *program.init, (F.col("changed") | F.col("_before")).alias("changed"), (F.col("messages") + F.col("_sent")).alias("messages"))
-                new = ahead
+            seen = Counter()
+            if program.before_step:  # who changed isn't known, so all send
+                with _as_dealt(spark, parts):
+                    state, _ = kept.deal(state.withColumn("_turn", F.lit((step - 1) * config.blocks)), slot="hooked")
+                blocks = [state.where(F.col("_block") == b) for b in range(config.blocks)]
+            for b in range(config.blocks):
+                turn = (step - 1) * config.blocks + b + 1
+                # those that changed since the block's last turn
+                senders = reduce(DataFrame.unionByName, blocks).where(F.col("_turn") >= turn - config.blocks)
+                with _as_dealt(spark, parts):
+                    new = _step(blocks[b], within[b], program, config.tol, senders)
+                    new = new.withColumn("_turn", F.when(F.col("changed"), F.lit(turn)).otherwise(F.col("_turn")))
+                    blocks[b], got = kept.deal(new, "messages", slot=b)
+                seen.update(got)
+            state = reduce(DataFrame.unionByName, blocks)
         else:
             on, senders = edges, None
             if config.mode == "frontier" and step > 1 and share < config.sparse_below:
@@ -136,8 +189,8 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
             elif config.mode == "selective" and step > 1 and share < config.selective_below:
                 live = alive(index, state.where("changed").select("id"))
                 on = edges.join(F.broadcast(live), "pid", "left_semi")  # one row a partition
-            new = _step(state, on, program, config.tol, senders)
-        state, seen = kept.put(new, "messages")
+            with _as_dealt(spark, parts):
+                state, seen = kept.deal(_step(state, on, program, config.tol, senders), "messages")
         share = seen["changed"] / seen["n"] if seen["n"] else 0.0
         out.metrics.append((step, seen["changed"], share))
         out.messages.append(seen["messages"])
@@ -145,6 +198,6 @@ def run(graph: Graph, program: VertexProgram, config: EngineConfig = EngineConfi
         stop = program.after_step and program.after_step(state, step) is False
         if stop or config.stop_when_stable and not seen["changed"]:
             break
-    out.state = state.drop("changed")
+    out.state = state.select("id", *program.init)
     graph.release()
     return out
