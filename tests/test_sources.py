@@ -98,3 +98,42 @@ def test_streamed_components(spark, tmp_path):
     incremental.maintain_components(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
     got = {r[0]: r[1] for r in incremental.components_at(spark, str(tmp_path / "state"), 1).collect()}
     assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
+@pytest.fixture(scope="module")
+def larger(spark):
+    """A hub of 30,000 sources, targets without sources, duplicates; partitions whose ids have gaps."""
+    hub = [(s, 777) for s in range(30_000)]
+    edges = spark.createDataFrame(hub + [(5, v) for v in range(0, 40_000, 3)] + [(5, 6)] * 3, "src long, dst long").repartition(3)
+    pid = spark.range(40_000).where("id % 10 <> 9 or id = 39999").selectExpr("id", "least(id div 15000, 1) as pid")
+    return edges.join(pid.selectExpr("id as dst"), "dst", "left_semi").select("src", "dst"), pid
+
+
+def test_csr_in_pieces_and_ranges(spark, larger, tmp_path):
+    edges, pid = larger
+    pieces = binary.csr_partitions(edges, pid)
+    assert max(len(r["content"]) for r in pieces.select("content").collect()) <= 4 * binary.PIECE
+    assert binary.write_files(pieces, str(tmp_path)) == 2
+    rows = edges.join(pid.withColumnRenamed("id", "dst"), "dst").toPandas()
+    for p, (first, end) in enumerate([(0, 14_999), (15_000, 40_000)]):
+        own = rows[rows["pid"] == p]
+        assert (tmp_path / f"{p}.edge").read_bytes() == binary.csr_bytes(own["dst"].to_numpy(), own["src"].to_numpy(), first, end)
+    whole = [tuple(r) for p in (0, 1) for r in zip([p] * 99_999, *[x.tolist() for x in binary.csr_edges((tmp_path / f"{p}.edge").read_bytes())])]
+    for chunk in (1000, 7001):
+        got = binary.read_csr(spark, str(tmp_path), chunk=chunk, place=True).orderBy("pid", "place").select("pid", "dst", "src").collect()
+        assert [tuple(r) for r in got] == whole
+
+
+def test_blocks_in_pieces_and_ranges(spark, larger, tmp_path):
+    edges, pid = larger
+    blocks = edges.join(pid.withColumnRenamed("id", "dst"), "dst").selectExpr("pid", "src % 2 as col", "src", "dst")
+    pieces = binary.block_partitions(blocks)
+    assert max(len(r["content"]) for r in pieces.select("content").collect()) <= 4 * binary.PIECE
+    rows = blocks.toPandas()
+    assert binary.write_files(pieces, str(tmp_path)) == rows.groupby(["pid", "col"]).ngroups
+    for (p, c), own in rows.groupby(["pid", "col"]):
+        expected = binary.npy(np.frombuffer(binary.block_bytes(own["dst"].to_numpy(), own["src"].to_numpy()), "<i4"))
+        assert (tmp_path / f"{p}-{c}.edge.npy").read_bytes() == expected
+    whole = sorted(map(tuple, rows[["pid", "col", "src", "dst"]].to_numpy().tolist()))
+    for chunk in (1001, 1 << 20):
+        assert sorted(map(tuple, binary.read_blocks(spark, str(tmp_path), chunk=chunk).collect())) == whole

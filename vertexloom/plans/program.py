@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextlib import AbstractContextManager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,7 +22,7 @@ from vertexloom.operators.partitioning import active_partitions, partition_assig
 from vertexloom.operators.sketch import bloom_active, bloom_index
 
 from .graph import Graph
-from .lineage import Kept
+from .lineage import Kept, settings
 
 #: Edges and vertices of a partition, while there are more partitions than cores.
 EDGES_EACH, VERTICES_EACH = 200_000, 50_000
@@ -91,18 +91,9 @@ def _moved(program: VertexProgram, tol: float) -> Column:
     return out
 
 
-@contextmanager
-def _as_dealt(spark: SparkSession, parts: int) -> Iterator[None]:
+def _as_dealt(spark: SparkSession, parts: int) -> AbstractContextManager[None]:
     """Plans made here keep their inputs' partitions: adaptive plans don't tell theirs, and a broadcast saves no shuffle."""
-    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts), "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    return settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts), "spark.sql.autoBroadcastJoinThreshold": "-1"})
 
 
 def _dealt(graph: Graph) -> tuple[DataFrame, int]:

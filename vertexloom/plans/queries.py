@@ -85,9 +85,16 @@ def scan_npy_vector(spark, d):
 pid AS (SELECT id, CAST(least({P - 1}, before // ceil((SELECT count(*) FROM em) / {P}.0)::BIGINT) AS BIGINT) AS pid FROM c)
 SELECT pid.pid, e.src, e.dst FROM (SELECT DISTINCT src, dst FROM em) e JOIN pid ON pid.id = e.dst""")
 def scan_csr_partition(spark, d):
+    return binary.read_csr(spark, _csr_files(spark, d))
+
+
+def _csr_files(spark: SparkSession, d: str) -> str:
+    """The folder of the CSR files; the edges are derived once."""
     path, graph = _folder(spark), derived.multi(spark, d)
-    binary.write_files(binary.csr_partitions(graph.multi, p.partition_assign(graph, P)), path)
-    return binary.read_csr(spark, path)
+    graph.multi = graph.hold(graph.multi)
+    binary.write_files(binary.csr_partitions(graph.multi, graph.hold(p.partition_assign(graph, P))), path)
+    graph.release()
+    return path
 
 
 _PID = f"""{_IN_MULTI}, c AS (SELECT id, in_degree, CAST(sum(in_degree) OVER (ORDER BY id) - in_degree AS BIGINT) AS before FROM dm),
@@ -99,8 +106,10 @@ _COL = f"CAST(least({C - 1}, floor(src * {C} / (SELECT count(*) FROM v))) AS BIG
 @query(f"{_PID} SELECT pid, {_COL} AS col, src, dst FROM pe")
 def scan_edge_blocks_2d(spark, d):
     path, graph = _folder(spark), derived.multi(spark, d)
+    graph.multi = graph.hold(graph.multi)
     blocks = p.partitioned_edges(graph, P).withColumn("col", p.column_of(F.col("src"), graph.n, C))
     binary.write_files(binary.block_partitions(blocks), path)
+    graph.release()
     return binary.read_blocks(spark, path)
 
 
@@ -278,23 +287,7 @@ def partition_pruned(spark, d):
 
 @query(f"{_PID} SELECT pid, dst, row_number() OVER (PARTITION BY pid ORDER BY dst, src) - 1 AS place, src FROM pe")
 def csr_export(spark, d):
-    graph = derived.multi(spark, d)
-    return binary_rows(binary.csr_partitions(graph.multi, p.partition_assign(graph, P)))
-
-
-def binary_rows(blobs: DataFrame) -> DataFrame:
-    """CSR files as rows: pid, dst, place of the index, src."""
-
-    def rows(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"]):
-                dst, src = binary.csr_edges(content)
-                yield pd.DataFrame({"pid": int(name.split(".")[0]), "dst": dst.astype(np.int64), "place": np.arange(len(src)), "src": src.astype(np.int64)})
-
-    return blobs.mapInPandas(rows, "pid long, dst long, place long, src long")
+    return binary.read_csr(spark, _csr_files(spark, d), place=True).select("pid", "dst", "place", "src")
 
 
 @query(" SELECT dst AS id, string_agg(src::VARCHAR, ',' ORDER BY src) AS neighbors FROM ed GROUP BY dst")

@@ -1,23 +1,28 @@
 """Binary graph files: NumPy vectors, CSR partitions and 2-D edge blocks.
 
-Files are listed and read by Spark (any Hadoop file system) and decoded a file at a time on the
-executors; a partition file is the unit that the formats are made of. Decoders take the file's
-bytes, with or without an npy header in front.
+Files are listed by Spark and read on the executors in ranges (2-D blocks, which have no index, from front to
+back), so no task holds a file. They are made as pieces of bounded size from sorted words, and a task writes the
+pieces of a file in their order. Readers take files with or without an npy header in front.
 """
 
 from __future__ import annotations
 
 import io
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexloom.plans.lineage import settings
+
 #: CSR header words (edges, indices, row pointers, first id, end id) and 2-D header words (vertices, edges, last id, first id).
 CSR_HEADER, BLOCK_HEADER = 5, 4
+#: Vertices whose words one task sorts, words of a piece at most, and words that a reader takes at once.
+SORTED, PIECE, AT_ONCE = 1 << 14, 1 << 14, 1 << 18
 
 
 def vector(content: bytes, dtype: str = "<i4") -> np.ndarray:
@@ -82,24 +87,11 @@ def _store(path: str):
     return fs.FileSystem.from_uri(f"file://{local}" if local else path)
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-
-
 def _numbers(path: str) -> list[int]:
     """Numbers of a file name: ``3-1.edge.npy`` is partition 3, column 1."""
     return [int(x) for x in re.findall(r"\d+", path.rsplit("/", 1)[1].split(".")[0])]
 
 
-def _decoded(files: DataFrame, schema: str, rows: Callable[[str, bytes], pd.DataFrame]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                yield rows(path, content)
-
-    return files.mapInPandas(run, schema)
-
-
 def _layout(head: bytes, dtype: str) -> tuple[int, np.dtype]:
     """Where the values of a vector file start, and their type."""
     if head[:6] != b"\x93NUMPY":
@@ -135,61 +127,183 @@ def read_vector(spark: SparkSession, path: str, pattern: str = "*.npy", dtype: s
     return ranges.repartition(int(tasks)).mapInPandas(run, "id long, value double")
 
 
-def read_csr(spark: SparkSession, path: str, pattern: str = "*.edge*") -> DataFrame:
-    """pid, src, dst of CSR partitions, raw or npy; the partition number is in the file's name."""
+class _Words:
+    """Words of an open vector file, read when asked for."""
 
-    def rows(name: str, content: bytes) -> pd.DataFrame:
-        dst, src = csr_edges(content)
-        return pd.DataFrame({"pid": _numbers(name)[0], "src": src.astype(np.int64), "dst": dst.astype(np.int64)})
+    def __init__(self, f, start: int, kind: np.dtype, at: int, n: int):
+        self.f, self.kind, self.base, self.n = f, kind, start + at * kind.itemsize, n
 
-    return _decoded(_files(spark, path, pattern), "pid long, src long, dst long", rows)
+    def __len__(self) -> int:
+        return self.n
 
+    def __getitem__(self, i):
+        lo, hi = (i.start, min(i.stop, self.n)) if isinstance(i, slice) else (i, i + 1)
+        out = np.frombuffer(self.f.read_at((hi - lo) * self.kind.itemsize, self.base + lo * self.kind.itemsize), self.kind)
+        return out if isinstance(i, slice) else int(out[0])
 
-def read_blocks(spark: SparkSession, path: str, pattern: str = "*.edge.npy") -> DataFrame:
-    """pid, col, src, dst of 2-D blocks named ``<pid>-<col>.edge.npy``."""
 
-    def rows(name: str, content: bytes) -> pd.DataFrame:
-        pid, col = _numbers(name)[:2]
-        dst, src = block_edges(content)
-        return pd.DataFrame({"pid": pid, "col": col, "src": src.astype(np.int64), "dst": dst.astype(np.int64)})
+def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where("length > 0").select("path", "length")
 
-    return _decoded(_files(spark, path, pattern), "pid long, col long, src long, dst long", rows)
 
+def read_csr(spark: SparkSession, path: str, pattern: str = "*.edge*", chunk: int = AT_ONCE, place: bool = False) -> DataFrame:
+    """pid, src, dst of CSR partitions, raw or npy; the partition number is in the file's name. ``place``: the index's place in its file, too.
 
-def csr_partitions(edges: DataFrame, pid: DataFrame) -> DataFrame:
-    """name, content: the CSR file of each partition. ``edges``: src, dst; ``pid``: id, pid, which also gives the ranges."""
-    ranges = pid.groupBy("pid").agg(F.min("id").alias("first"), (F.max("id") + 1).alias("end"))
-    dealt = edges.join(pid.withColumnRenamed("id", "dst"), "dst").select("pid", "src", "dst")
-    rows = ranges.join(dealt, "pid", "left")
+    A task reads ``chunk`` indices and finds their targets by bisection of the row pointers.
+    """
+    files = _listed(spark, path, pattern)
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / 4), F.lit(chunk).cast("long"))).alias("at"))
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / 4 / chunk))).first()[0] or 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, length, at in zip(pdf["path"], pdf["length"].tolist(), pdf["at"].tolist()):
+                store, own = _store(name)
+                with store.open_input_file(own) as f:
+                    start, kind = _layout(f.read_at(min(length, 4096), 0), "<i4")
+                    _, n_indices, n_pointers, first, _ = (int(x) for x in _Words(f, start, kind, 0, CSR_HEADER)[0:CSR_HEADER])
+                    indices, pointers = _Words(f, start, kind, CSR_HEADER, n_indices), _Words(f, start, kind, CSR_HEADER + n_indices, n_pointers)
+                    stop = min(at + chunk, n_indices)
+                    v = bisect_right(pointers, at) - 1 if at < stop else 0
+                    while at < stop:
+                        bounds = pointers[v : v + min(chunk, AT_ONCE) + 1].astype(np.int64)
+                        if len(bounds) < 2:
+                            raise ValueError(f"{name} has no pointers for its last indices")
+                        end = min(int(bounds[-1]), stop)
+                        if end > at:
+                            dst = np.repeat(np.arange(first + v, first + v + len(bounds) - 1), np.diff(np.clip(bounds, at, end)))
+                            yield pd.DataFrame({"pid": _numbers(name)[0], "src": indices[at:end].astype(np.int64), "dst": dst, "place": np.arange(at, end)})
+                        at, v = max(end, at), v + len(bounds) - 1
+
+    out = ranges.repartition(int(tasks)).mapInPandas(run, "pid long, src long, dst long, place long")
+    return out if place else out.drop("place")
+
+
+def read_blocks(spark: SparkSession, path: str, pattern: str = "*.edge.npy", chunk: int = AT_ONCE) -> DataFrame:
+    """pid, col, src, dst of 2-D blocks named ``<pid>-<col>.edge.npy``. A task reads a file from front to back, ``chunk`` words at once."""
+    files = _listed(spark, path, pattern)
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, first, end = (int(pdf[c].iloc[0]) for c in ("pid", "first", "end"))
-        own = pdf.dropna(subset=["dst"])
-        return pd.DataFrame({"name": [f"{p}.edge"], "content": [csr_bytes(own["dst"].to_numpy(np.int64), own["src"].to_numpy(np.int64), first, end)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, length in zip(pdf["path"], pdf["length"].tolist()):
+                pid, col = _numbers(name)[:2]
+                store, own = _store(name)
+                with store.open_input_file(own) as f:
+                    start, kind = _layout(f.read_at(min(length, 4096), 0), "<i4")
+                    words = _Words(f, start, kind, 0, (length - start) // kind.itemsize)
+                    targets, at, v, left = words[0], BLOCK_HEADER, 0, 0
+                    while at < len(words) and (targets or left):
+                        a = words[at : at + max(chunk, 2)]
+                        values, i, ids, sizes, keep = a.tolist(), 0, [], [], np.ones(len(a), bool)
+                        if left:
+                            i = min(left, len(a))
+                            ids, sizes, left = [v], [i], left - i
+                        while targets and i + 1 < len(a):
+                            v, n, keep[i : i + 2] = values[i], values[i + 1], False
+                            n, left = min(n, len(a) - i - 2), max(n - (len(a) - i - 2), 0)
+                            ids.append(v)
+                            sizes.append(n)
+                            i, targets = i + 2 + n, targets - 1
+                        if not i:
+                            raise ValueError(f"{name} ends within a record")
+                        keep[i:] = False
+                        at += i
+                        yield pd.DataFrame({"pid": pid, "col": col, "src": a[keep].astype(np.int64), "dst": np.repeat(np.array(ids, np.int64), sizes)})
+
+    return files.repartition(max(files.count(), 1)).mapInPandas(run, "pid long, col long, src long, dst long")
+
+
+def _pieces(words: DataFrame, keys: list[str], heads: DataFrame, npy_head: bool, name: Column) -> DataFrame:
+    """name, section, block, part, content. ``words``: keys, section, block, a, b, word, by which they are sorted. ``heads``: keys, head (array of words), n (all words of the file)."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, part = None, 0
+        for pdf in batches:
+            for key, own in pdf.groupby([*keys, "section", "block"], sort=False):
+                part, last = (part if key == last else 0), key
+                content = own["word"].to_numpy().astype("<i4")
+                cut = [content[i : i + PIECE].tobytes() for i in range(0, len(content), PIECE)]
+                yield pd.DataFrame({**dict(zip([*keys, "section", "block"], key)), "part": range(part, part + len(cut)), "content": cut})
+                part += len(cut)
+
+    def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                f = io.BytesIO()
+                if npy_head:
+                    np.lib.format.write_array_header_1_0(f, {"descr": "<i4", "fortran_order": False, "shape": (int(r["n"]),)})
+                f.write(np.array(r["head"]).astype("<i4").tobytes())
+                yield pd.DataFrame({**{k: [r[k]] for k in keys}, "section": 0, "block": 0, "part": 0, "content": [f.getvalue()]})
 
-    return rows.groupBy("pid").applyInPandas(make, "name string, content binary")
+    schema = ", ".join(f"{k} long" for k in keys) + ", section long, block long, part long, content binary"
+    by = [*keys, "section", "block"]
+    body = words.repartition(*by).sortWithinPartitions(*by, "a", "b").select(*by, "word").mapInPandas(pack, schema)
+    return heads.mapInPandas(front, schema).unionByName(body).select(name.alias("name"), "section", "block", "part", "content")
 
 
-def block_partitions(edges: DataFrame) -> DataFrame:
-    """name, content: the 2-D block file of each (pid, col). ``edges``: pid, col, src, dst."""
+def csr_partitions(edges: DataFrame, pid: DataFrame) -> DataFrame:
+    """The CSR file of each partition, in pieces. ``edges``: src, dst; ``pid``: id, pid, which also gives the ranges."""
+    block = F.floor(F.col("id") / SORTED).alias("block")
+    ranges = pid.groupBy("pid").agg(F.min("id").alias("first"), (F.max("id") + 1).alias("end"))
+    unique = edges.join(pid.withColumnRenamed("id", "dst"), "dst").groupBy("pid", "dst", "src").agg(F.count(F.lit(1)).alias("copies"))
+    degrees = unique.groupBy("pid", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    sums = degrees.groupBy("pid", block).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    # every block of a partition's range, whether or not it has edges
+    blocks = ranges.select("pid", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / SORTED), F.floor((F.col("end") - 1) / SORTED))).alias("block"))
+    up = Window.partitionBy("pid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(sums, ["pid", "block"], "left").withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    ids = F.sequence(F.greatest("first", F.col("block") * SORTED), F.least(F.col("end"), (F.col("block") + 1) * SORTED) - 1)
+    each = blocks.select("pid", "block", "before", F.explode(ids).alias("id")).join(degrees.select("pid", "id", "n"), ["pid", "id"], "left")
+    inner = Window.partitionBy("pid", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    pointer = F.col("before") + F.coalesce(F.sum("n").over(inner), F.lit(0))
+    words = unique.select("pid", F.lit(1).alias("section"), F.floor(F.col("dst") / SORTED).alias("block"), F.col("dst").alias("a"), F.col("src").alias("b"), F.col("src").alias("word"))
+    words = words.union(ranges.select("pid", F.lit(2), F.lit(-1), F.lit(0), F.lit(0), F.lit(0)))
+    words = words.union(each.select("pid", F.lit(2), "block", "id", F.lit(0), pointer))
+    heads = blocks.groupBy("pid", "first", "end").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    heads = heads.select("pid", F.array("copies", "n", F.col("end") - F.col("first") + 1, "first", "end").alias("head"), "n")
+    return _pieces(words, ["pid"], heads, False, F.format_string("%d.edge", "pid"))
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, c = int(pdf["pid"].iloc[0]), int(pdf["col"].iloc[0])
-        return pd.DataFrame({"name": [f"{p}-{c}.edge.npy"], "content": [npy(np.frombuffer(block_bytes(pdf["dst"].to_numpy(), pdf["src"].to_numpy()), "<i4"))]})
 
-    return edges.groupBy("pid", "col").applyInPandas(make, "name string, content binary")
+def block_partitions(edges: DataFrame) -> DataFrame:
+    """The 2-D block file of each (pid, col), in pieces. ``edges``: pid, col, src, dst."""
+    keys = ["pid", "col"]
+    dealt = edges.select(*keys, F.floor(F.col("dst") / SORTED).alias("block"), "dst", "src").repartition(*keys, "block")
+    own = Window.partitionBy(*keys, "block", "dst").orderBy("src")
+    sized = dealt.select("*", F.row_number().over(own).alias("_k"), F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    # a target's id and number of sources stand before its first source
+    record = F.when(F.col("_k") == 1, F.array("dst", "_n", "src")).otherwise(F.array("src"))
+    words = sized.select(*keys, F.lit(1).alias("section"), "block", F.col("dst").alias("a"), F.col("_k"), F.posexplode(record).alias("_p", "word"))
+    words = words.select(*keys, "section", "block", "a", F.when(F.col("_k") == 1, F.col("_p") - 2).otherwise(F.col("_k")).alias("b"), "word")
+    sizes = edges.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("e"), F.max("dst").alias("high"), F.min("dst").alias("low"))
+    heads = sizes.select(*keys, F.array("v", "e", "high", "low").alias("head"), (BLOCK_HEADER + 2 * F.col("v") + F.col("e")).alias("n"))
+    return _pieces(words, keys, heads, True, F.format_string("%d-%d.edge.npy", "pid", "col"))
 
 
 def write_files(blobs: DataFrame, path: str) -> int:
-    """Write (name, content) rows as files below ``path``, from the executors; a rewritten file has the same bytes. Returns their number."""
+    """Write (name, content) rows as files below ``path``, from the executors; a rewritten file has the same bytes. Returns their number.
+
+    Where there are more columns, a file's rows are its pieces in the order of those; one task writes them, a few at a time.
+    """
+    order = [c for c in blobs.columns if c not in ("name", "content")]
+    if order:
+        blobs = blobs.repartition("name").sortWithinPartitions("name", *order).select("name", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _store(path)
         store.create_dir(root, recursive=True)
-        for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"]):
-                with store.open_output_stream(f"{root}/{name}") as out:
+        last, out, n = None, None, 0
+        try:
+            for pdf in batches:
+                for name, content in zip(pdf["name"], pdf["content"]):
+                    if name != last:
+                        if out:
+                            out.close()
+                        last, out, n = name, store.open_output_stream(f"{root}/{name}"), n + 1
                     out.write(content)
-            yield pd.DataFrame({"n": [len(pdf)]})
+        finally:
+            if out:
+                out.close()
+        yield pd.DataFrame({"n": [n]})
 
-    return blobs.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    with settings(blobs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}):
+        return blobs.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
