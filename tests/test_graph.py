@@ -212,3 +212,12 @@ def test_states_stay_dealt_and_edges_are_derived_once(spark, mode):
     assert column(got.state, "min_id") == [0, 0, 0, 0, 0, 5, 5, 7, 8]
     assert read.value == len(EDGES)
     assert len(plans) == len(got.metrics) and all(p.startswith("hashpartitioning(id") for p in plans)
+
+
+def test_async_sends_what_a_hook_changed(graph):
+    from vertexloom.plans.program import EngineConfig, run
+
+    program = alg.label_program()
+    program.before_step = lambda state, step: state.withColumn("min_id", F.when(F.col("id") == 7, F.lit(-1)).otherwise(F.col("min_id")).cast("long"))
+    got = run(graph, program, EngineConfig(max_iter=9, mode="async"))
+    assert column(got.state, "min_id") == [0, 0, 0, 0, 0, -1, -1, -1, 8]
